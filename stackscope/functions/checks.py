@@ -1,0 +1,22 @@
+"""The one check Spark SQL has no function for."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+@F.pandas_udf("string")
+def regex_error(pattern: pd.Series) -> pd.Series:
+    """Why a pattern does not compile; null when it does."""
+    def check(p):
+        if p is None:
+            return None
+        try:
+            re.compile(p)
+            return None
+        except re.error as e:
+            return e.msg
+    return pattern.map(check)
