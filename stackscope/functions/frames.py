@@ -15,24 +15,37 @@ def is_frame_line(line: Column) -> Column:
     return line.rlike(FRAME_LINE)
 
 
-def parse_frame(line: Column) -> Column:
-    """One ``at sig(loc)`` line as a frame struct; null when the line is no frame."""
-    sig0 = strip(F.regexp_extract(line, FRAME_LINE, 1))
-    # a module prefix goes only when it carries a version: "java.base@21/..."
-    sig = F.regexp_replace(sig0, r"^[^/]+@[^/]*/", "")
-    loc = F.regexp_extract(line, FRAME_LINE, 2)
+def frame_signature(line: Column) -> Column:
+    """Signature of a frame line without its module prefix.
+
+    A prefix goes only when it carries a version: "java.base@21/...".
+    """
+    return F.regexp_replace(strip(F.regexp_extract(line, FRAME_LINE, 1)), r"^[^/]+@[^/]*/", "")
+
+
+def frame_location(line: Column) -> Column:
+    return F.regexp_extract(line, FRAME_LINE, 2)
+
+
+def frame_of(sig: Column, loc: Column) -> Column:
+    """Frame struct of a signature and a location (best passed as plain columns)."""
     head = F.regexp_extract(sig, r"^(.+)\.[^.]*$", 1)
     dotted = head != ""
     cls_name = F.when(dotted, head).otherwise(sig)
     method_name = F.when(dotted, F.substring_index(sig, ".", -1)).otherwise(F.lit(""))
-    return F.when(is_frame_line(line), F.struct(
+    return F.struct(
         F.concat(sig, F.lit("("), loc, F.lit(")")).alias("raw"),
         cls_name.alias("cls"),
         method_name.alias("method"),
         strip(loc).alias("loc"),
-        F.concat(cls_name, F.lit("."), method_name).alias("sig"),
+        F.when(dotted, sig).otherwise(F.concat(sig, F.lit("."))).alias("sig"),
         (strip(loc) == "Native Method").alias("native"),
-    ))
+    )
+
+
+def parse_frame(line: Column) -> Column:
+    """One ``at sig(loc)`` line as a frame struct; null when the line is no frame."""
+    return F.when(is_frame_line(line), frame_of(frame_signature(line), frame_location(line)))
 
 
 def normalize_j9_frame(frame: Column) -> Column:

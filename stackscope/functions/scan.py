@@ -26,7 +26,8 @@ def running(df: DataFrame, keys: list[str], chunk: str, order: list[str], *,
     last, prev, total, high = last or {}, prev or {}, total or {}, high or {}
     marked = {**last, **prev}
     aggs = []
-    pos = F.struct(*[F.col(c) for c in order])
+    # a single numeric order and numeric markers keep the summary a hash aggregate
+    pos = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     for n, m in marked.items():
         aggs.append(F.max_by(m, F.when(m.isNotNull(), pos)).alias(f"_c_{n}"))
     for n, m in total.items():

@@ -47,11 +47,14 @@ def stuck_candidates(occ: DataFrame, dump: DataFrame, k: int = 3, max_frames: in
     narrow row per dump of a key; wide columns come back by a join on the few runs.
     """
     k = max(2, k)
-    ok = occ.filter(F.col("fp").isNotNull() & F.col("state").isin("RUNNABLE", "BLOCKED"))
-    w = Window.partitionBy(*OCC, "fp").orderBy("dump_idx")
-    narrow = ok.select(*DUMP, "key", "fp", "state", "cpu_ms",
-                       (F.col("dump_idx") - F.row_number().over(w)).alias("_island"))
-    runs = narrow.groupBy(*OCC, "fp", "_island").agg(
+    whole = Window.partitionBy(*OCC).orderBy("dump_idx")
+    narrow = occ.select(*DUMP, "key", "fp", "state", "cpu_ms",
+                        F.first("norm_name").over(whole).alias("display_name"))
+    ok = narrow.filter(F.col("fp").isNotNull() & F.col("state").isin("RUNNABLE", "BLOCKED"))
+    same = Window.partitionBy(*OCC, "fp").orderBy("dump_idx")
+    ok = ok.withColumn("_island", F.col("dump_idx") - F.row_number().over(same))
+    runs = ok.groupBy(*OCC, "fp", "_island").agg(
+        F.first("display_name").alias("display_name"),
         F.min("dump_idx").alias("from_dump"), F.max("dump_idx").alias("to_dump"),
         F.count("*").cast("int").alias("run_length"),
         F.min(F.when(F.col("state") == "RUNNABLE", F.col("dump_idx"))).alias("_runnable_at"),
@@ -76,8 +79,7 @@ def stuck_candidates(occ: DataFrame, dump: DataFrame, k: int = 3, max_frames: in
         "series_id", F.col("dump_idx").alias("to_dump"), "key", "tid_hex", "name", "nid_dec", "pool",
         "cls_kind", "cls_label", "frames", "wait_lock",
         F.get("frames", F.lit(0))["native"].alias("top_native"))
-    names = key_summary(occ).select(*OCC, "display_name")
-    return runs.join(last, ["series_id", "to_dump", "key"]).join(names, OCC).select(
+    return runs.join(last, ["series_id", "to_dump", "key"]).select(
         "series_id", "key", F.col("display_name").alias("name"), F.col("name").alias("last_name"),
         "tid_hex", "from_dump", "to_dump", "run_length", "states", "ever_blocked", "fp",
         F.slice(F.transform("frames", lambda f: f["raw"]), 1, max_frames).alias("frozen_frames"),

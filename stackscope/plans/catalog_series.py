@@ -208,8 +208,8 @@ def _(spark, sf):
 
 @query("cpu_delta", snap(body="""
 SELECT key, CAST(arg_max(cpu, dump_idx) - arg_min(cpu, dump_idx) AS DOUBLE) AS delta_ms,
-  1000.0 * date_diff('second', min(day), max(day)) AS wall_ms,
-  round((arg_max(cpu, dump_idx) - arg_min(cpu, dump_idx)) / (1000.0 * date_diff('second', min(day), max(day))), 6) AS ratio
+  CAST(1000 * date_diff('second', min(day), max(day)) AS DOUBLE) AS wall_ms,
+  round(CAST(arg_max(cpu, dump_idx) - arg_min(cpu, dump_idx) AS DOUBLE) / (1000 * date_diff('second', min(day), max(day))), 6) AS ratio
 FROM snap GROUP BY key HAVING count(*) > 1"""))
 def _(spark, sf):
     t, d = snapshot(spark, sf)

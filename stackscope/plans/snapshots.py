@@ -7,7 +7,7 @@ grows with the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,10 @@ NATIVE = "java.net.SocketInputStream.socketRead0"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    # times without a zone are taken as UTC, the session's zone
+    return df.select(*[F.col(n).cast("timestamp").alias(n) if t == "timestamp_ntz" else F.col(n)
+                       for n, t in df.dtypes])
 
 
 def _frames(event: Column, variant: Column) -> Column:
@@ -83,7 +86,6 @@ def event_tables(spark: SparkSession, sf_dir: str, by_node: bool = False) -> Tab
         .withColumn("source_name", F.concat(F.lit("day-"), F.col("day").cast("string"))) \
         .withColumn("saw_sync", F.lit(False))
     # one narrow row per day and user: a window over a user is at most the days of the series
-    from pyspark.sql import Window
     w = Window.partitionBy("series_id", "user_id").orderBy("day")
     et = F.col("event_type")
     n = u.cast("string")

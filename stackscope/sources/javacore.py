@@ -85,15 +85,16 @@ def javacore_tables(tagged: DataFrame) -> Tables:
     frame = F.when((tag == "4XESTACKTRACE") & (F.col("in_stack") == 1) & line.rlike(STACK),
                    parse_frame(normalize_j9_frame(F.regexp_extract(line, STACK, 1))))
 
-    raw = df.filter(F.col("thread_no") > 0).groupBy(*keys, "thread_no").agg(
+    lines = df.filter(F.col("thread_no") > 0).withColumn("_frame", frame).withColumn("_ref", own_ref)
+    raw = lines.groupBy(*keys, "thread_no").agg(
         F.max(F.when(tag == "3XMTHREADINFO", line)).alias("_head"),
         F.max(F.when(tag == "3XMJAVALTHREAD", line)).alias("_java"),
         F.max_by(_get(line, NATIVE_ID), F.when((tag == "3XMTHREADINFO1") & line.rlike(NATIVE_ID), at)).alias("_nid"),
         F.max_by(_get(line, CPU), F.when((tag == "3XMCPUTIME") & line.rlike(CPU), at)).alias("_cpu"),
-        F.array_sort(F.collect_list(F.when(frame.isNotNull(), F.struct(
-            at.alias("at"), frame.alias("frame"))))).alias("_frames"),
-        F.array_sort(F.collect_list(F.when(own_ref.isNotNull(), F.struct(
-            at.alias("at"), own_ref.alias("ref"))))).alias("_locks"),
+        F.array_sort(F.collect_list(F.when(F.col("_frame").isNotNull(), F.struct(
+            at.alias("at"), F.col("_frame").alias("frame"))))).alias("_frames"),
+        F.array_sort(F.collect_list(F.when(F.col("_ref").isNotNull(), F.struct(
+            at.alias("at"), F.col("_ref").alias("ref"))))).alias("_locks"),
     ).filter(F.col("_head").rlike(THREAD))
     attrs = F.regexp_extract("_head", THREAD, 2)
     letters = _get(attrs, r"state:([A-Z]+)")
