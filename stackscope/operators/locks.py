@@ -96,6 +96,8 @@ def _cycle_ids(cycle: DataFrame) -> DataFrame:
     """(dump, node, cycle_id), the id being the smallest name on the cycle."""
     key = [*DUMP]
     state = cycle.select(*key, "node", F.col("nxt").alias("to"), F.col("node").alias("low"))
+    if cycle.isEmpty():
+        return state.select(*key, "node", F.col("low").alias("cycle_id"))
     before = None
     while True:
         state = cut(state)
@@ -134,11 +136,17 @@ def _nodes(edges: DataFrame) -> DataFrame:
         edges.select(*DUMP, F.col("holder").alias("node"))).distinct()
 
 
-def transitive_victims(edges: DataFrame) -> DataFrame:
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes on cycles; compute once and hand to the operators below to share the work."""
+    return _cycle_nodes(edges)
+
+
+def transitive_victims(edges: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
     """Threads that would move on if a holder let go: (dump, holder, direct, transitive)."""
     key = [*DUMP]
-    edges = cut(edges)
-    cycle = _cycle_nodes(edges)
+    if cycle is None:
+        edges = cut(edges)
+        cycle = _cycle_nodes(edges)
     up = edges.select(*key, F.col("waiter").alias("node"), F.col("holder").alias("to")) \
         .join(cycle.select(*key, "node"), [*key, "node"], "left_anti")
     size = _subtree_sizes(_nodes(edges), up)
@@ -154,16 +162,16 @@ def transitive_victims(edges: DataFrame) -> DataFrame:
         *key, "holder", "direct", (F.col("size") - 1).alias("transitive"), "first_ord")
 
 
-def top_blockers(edges: DataFrame) -> DataFrame:
+def top_blockers(edges: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
     """Holders of every dump by transitive victims (``rank`` from 1)."""
     w = Window.partitionBy(*DUMP).orderBy(F.desc("transitive"), "first_ord", "holder")
-    return transitive_victims(edges).withColumn("rank", F.row_number().over(w))
+    return transitive_victims(edges, cycle).withColumn("rank", F.row_number().over(w))
 
 
-def deadlock_members(edges: DataFrame, jvm_cycle: DataFrame | None = None) -> DataFrame:
+def deadlock_members(edges: DataFrame, jvm_cycle: DataFrame | None = None,
+                     cycle: DataFrame | None = None) -> DataFrame:
     """(dump, cycle_id, source, name) of every cycle, reported or found."""
-    edges = cut(edges)
-    graph = _cycle_ids(_cycle_nodes(edges)).select(
+    graph = _cycle_ids(_cycle_nodes(cut(edges)) if cycle is None else cycle).select(
         *DUMP, F.col("cycle_id"), F.lit("wait-for-graph").alias("source"), F.col("node").alias("name"))
     if jvm_cycle is None:
         return graph

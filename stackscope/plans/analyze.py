@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -15,16 +16,36 @@ from stackscope.operators.derive import derive
 from stackscope.operators.findings import Context, rank_findings, run_detectors
 from stackscope.operators.pauses import reattribute_to_pauses
 from stackscope.options import Options
+from stackscope.session import cut
 from stackscope.sources.tables import Tables
 
 
+class ResultTables(Mapping):
+    """Result tables by name; each is planned when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass
 class Analysis:
     """Lazy result tables, all keyed by series_id."""
 
     context: Context
     findings: DataFrame
-    tables: dict[str, DataFrame]
+    tables: ResultTables
 
 
 def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | None = None,
@@ -39,10 +60,12 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
     thread = derive(t.thread, options, idle, meanings).persist(StorageLevel.DISK_ONLY)
     dump = t.dump
     occ = series.series_index(thread)
-    edges = locks.waits_for(thread)
+    # the waits-for relation is small next to the threads; it is stored once and shared
+    edges = cut(locks.waits_for(thread))
+    on_cycle = locks.cycle_nodes(edges)
     contended = locks.contended_locks(thread)
-    blockers = locks.top_blockers(edges)
-    members = locks.deadlock_members(edges, t.jvm_cycle)
+    blockers = cut(locks.top_blockers(edges, on_cycle))
+    members = locks.deadlock_members(edges, t.jvm_cycle, on_cycle)
     cycles = locks.deadlock_cycles(members)
     candidates = series.stuck_candidates(occ, dump, options.stuck_k, options.max_frames_shown)
     verdicts = stuck.classify_stuck(candidates, contended, blockers, os_sample, options.critical_victims)
@@ -63,45 +86,45 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
             ~((F.col("flag") == "stuck") & (F.col("_n") == 1) & F.coalesce("_gone", F.lit(False)))) \
             .drop("_n", "_gone")
     out = {
-        "dump": dump,
-        "state_distribution": single.state_distribution(thread),
-        "state_counts": single.state_counts(thread),
-        "gc_jit": single.gc_jit_sanity(thread),
-        "virtual_counts": single.virtual_counts(thread),
-        "carriers": single.carrier_map(thread),
-        "pools": single.pool_stats(thread),
-        "categories": single.category_breakdown(thread),
-        "stack_groups": single.stack_groups(thread, options.top_stacks, options.max_frames_shown),
-        "method_stats": single.method_stats(thread),
-        "cpu": single.cpu_attribution(thread, os_sample),
-        "thread_detail": single.thread_detail(thread, options.max_frames_shown),
-        "stacks": single.stack_table(thread, options.max_frames_shown),
-        "contended_locks": contended,
-        "lock_waiters": locks.lock_wait(thread),
-        "top_blockers": blockers,
-        "deadlocks": cycles,
-        "deadlock_members": members,
-        "blocker_tree": locks.blocker_tree(thread),
-        "stuck_threads": stuck.genuine(verdicts).drop("frames"),
-        "lock_holders": holders,
-        "pool_trends": trend,
-        "pool_trend_counts": series.pool_trend_counts(thread, dump),
-        "timelines": series.flagged_timelines(occ, flags),
-        "all_timelines": series.all_timelines(occ),
-        "pool_utilization": single.pool_utilization(thread),
-        "quality": quality.quality_notes(dump, occ, t.parse_issue),
-        "middleware": platform,
-        "middleware_panel": middleware.middleware_panel(thread, platform),
-        "nodes": fleet.node_summary(thread, dump, findings),
-        "outliers": fleet.outliers(thread, options.top_stacks),
-        "findings": findings,
+        "dump": lambda: dump,
+        "state_distribution": lambda: single.state_distribution(thread),
+        "state_counts": lambda: single.state_counts(thread),
+        "gc_jit": lambda: single.gc_jit_sanity(thread),
+        "virtual_counts": lambda: single.virtual_counts(thread),
+        "carriers": lambda: single.carrier_map(thread),
+        "pools": lambda: single.pool_stats(thread),
+        "categories": lambda: single.category_breakdown(thread),
+        "stack_groups": lambda: single.stack_groups(thread, options.top_stacks, options.max_frames_shown),
+        "method_stats": lambda: single.method_stats(thread),
+        "cpu": lambda: single.cpu_attribution(thread, os_sample),
+        "thread_detail": lambda: single.thread_detail(thread, options.max_frames_shown),
+        "stacks": lambda: single.stack_table(thread, options.max_frames_shown),
+        "contended_locks": lambda: contended,
+        "lock_waiters": lambda: locks.lock_wait(thread),
+        "top_blockers": lambda: blockers,
+        "deadlocks": lambda: cycles,
+        "deadlock_members": lambda: members,
+        "blocker_tree": lambda: locks.blocker_tree(thread),
+        "stuck_threads": lambda: stuck.genuine(verdicts).drop("frames"),
+        "lock_holders": lambda: holders,
+        "pool_trends": lambda: trend,
+        "pool_trend_counts": lambda: series.pool_trend_counts(thread, dump),
+        "timelines": lambda: series.flagged_timelines(occ, flags),
+        "all_timelines": lambda: series.all_timelines(occ),
+        "pool_utilization": lambda: single.pool_utilization(thread),
+        "quality": lambda: quality.quality_notes(dump, occ, t.parse_issue),
+        "middleware": lambda: platform,
+        "middleware_panel": lambda: middleware.middleware_panel(thread, platform),
+        "nodes": lambda: fleet.node_summary(thread, dump, findings),
+        "outliers": lambda: fleet.outliers(thread, options.top_stacks),
+        "findings": lambda: findings,
     }
     if baseline is not None:
         now = B.build(thread, dump, options.top_stacks)
-        out["state_shifts"] = B.state_shifts(now.state, baseline.state)
-        out["pool_deltas"] = B.pool_deltas(now.pool, baseline.pool)
-        out["new_stacks"] = B.new_recurring_stacks(thread, baseline.stack, options.top_stacks)
-    return Analysis(ctx, findings, out)
+        out["state_shifts"] = lambda: B.state_shifts(now.state, baseline.state)
+        out["pool_deltas"] = lambda: B.pool_deltas(now.pool, baseline.pool)
+        out["new_stacks"] = lambda: B.new_recurring_stacks(thread, baseline.stack, options.top_stacks)
+    return Analysis(ctx, findings, ResultTables(out))
 
 
 def release_drift(t: Tables, baseline: B.Baseline, options: Options = Options()) -> dict[str, DataFrame]:
