@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from stackscope.operators.derive import derive
 from stackscope.operators.findings import Context, rank_findings, run_detectors
 from stackscope.operators.pauses import reattribute_to_pauses
 from stackscope.options import Options
-from stackscope.session import cut
+from stackscope.session import cut, store
 from stackscope.sources.tables import Tables
 
 
@@ -54,10 +53,10 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
             rules=BUNDLED_RULES) -> Analysis:
     """Plan every result of the engine over one or many series.
 
-    The derived thread table is kept on disk: each result reads it again, the
-    parsers run once.
+    The derived thread table is written once: the parsers run once, and every
+    result scans only the columns it needs.
     """
-    thread = derive(t.thread, options, idle, meanings).persist(StorageLevel.DISK_ONLY)
+    thread = store(derive(t.thread, options, idle, meanings))
     dump = t.dump
     occ = series.series_index(thread)
     # the waits-for relation is small next to the threads; it is stored once and shared
@@ -72,6 +71,7 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
     raw_genuine = stuck.genuine(verdicts)
     if pauses is not None:
         verdicts = reattribute_to_pauses(verdicts, dump, pauses, options.pause_slack_ms)
+    verdicts = store(verdicts)
     holders = series.persistent_lock_holders(thread)
     trend = series.pool_trend(thread, dump, options.leak_min_growth)
     platform = middleware.detect_middleware(thread, dump)

@@ -13,7 +13,7 @@ from stackscope.plans.catalog_series import RUNS
 from stackscope.plans.registry import flat, query
 from stackscope.plans.snapshots import dump_text, event_tables, read
 from stackscope.plans.sqlbase import snap
-from stackscope.session import cut
+from stackscope.session import store
 from stackscope.sources import kb
 from stackscope.sources.gclog import parse_gc_log
 from stackscope.sources.hotspot import parse_hotspot, segment_lines
@@ -30,12 +30,12 @@ ROWS_PER_CHUNK = 4096
 
 def parsed(spark, sf):
     """The snapshot printed to stored text lines and parsed back."""
-    return parse_hotspot(cut(dump_text(event_tables(spark, sf))))
+    return parse_hotspot(store(dump_text(event_tables(spark, sf))))
 
 
 def stored(t: Tables) -> Tables:
     """The thread and dump tables kept as files, for queries that read them repeatedly."""
-    return Tables(cut(t.dump), cut(t.thread), t.jvm_cycle, t.parse_issue)
+    return Tables(store(t.dump), store(t.thread), t.jvm_cycle, t.parse_issue)
 
 
 @query("stuck_runs_from_text", snap(body="," + RUNS + """
@@ -95,7 +95,7 @@ UNION ALL SELECT dump_idx + 1, 'blank', count(*) + 1 FROM x GROUP BY dump_idx
 UNION ALL SELECT dump_idx + 1, 'banner', 1 FROM days
 UNION ALL SELECT dump_idx, 'time', 1 FROM days WHERE dump_idx > 0"""))
 def _(spark, sf):
-    seg = segment_lines(cut(dump_text(event_tables(spark, sf))))
+    seg = segment_lines(store(dump_text(event_tables(spark, sf))))
     return flat(seg.groupBy("dump_no", "code").agg(F.count("*").alias("n")), "dump_no", "code", "n")
 
 
@@ -158,7 +158,7 @@ SELECT dump_idx, name, u AS java_id, CAST(u % 2 = 0 AS BIGINT) AS daemon, u % 3
   CASE WHEN et = 'error' AND u % 5 = 0 THEN 'WAITING_TO_LOCK,LOCKED_MONITOR' WHEN et = 'error' THEN 'WAITING_TO_LOCK'
     WHEN et IN ('purchase', 'view') THEN 'LOCKED_MONITOR' ELSE '' END AS locks FROM snap"""))
 def _(spark, sf):
-    t = parse_javacore(cut(javacore_text(spark, sf))).thread
+    t = parse_javacore(store(javacore_text(spark, sf))).thread
     return flat(t, "dump_idx", "name", "java_id", "daemon", "prio", "tid_hex", "nid_dec", "state", cpu_ms=F.round("cpu_ms"),
                 stack=F.array_join(F.transform("frames", lambda f: f["raw"]), " < "),
                 locks=F.array_join(F.transform("locks", lambda l: l["kind"]), ","))
@@ -167,7 +167,7 @@ def _(spark, sf):
 @query("parsed_javacore_dumps", snap(body="""
 SELECT dump_idx, epoch_ms(CAST(day AS TIMESTAMP)) + 250 AS ts_ms, 'Full thread dump J9 VM' AS banner, 'Dump Event "user" (00004000) received' AS dump_reason FROM days"""))
 def _(spark, sf):
-    return flat(parse_javacore(cut(javacore_text(spark, sf))).dump, "dump_idx", "banner", "dump_reason", ts_ms=F.unix_millis("ts"))
+    return flat(parse_javacore(store(javacore_text(spark, sf))).dump, "dump_idx", "banner", "dump_reason", ts_ms=F.unix_millis("ts"))
 
 
 @query("parsed_json_threads", """

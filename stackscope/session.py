@@ -1,8 +1,9 @@
-"""Session settings and the lineage-cutting helper."""
+"""Session settings, and the two ways of storing an intermediate result."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,18 +16,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor never costs the whole lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; a local
-    folder is used only when nothing is set (tests, local mode).
+    A local folder is made only where nothing is set (tests, local mode).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            shared = tempfile.mkdtemp(prefix="stackscope-ckpt-")
-        sc.setCheckpointDir(shared)
+            named = tempfile.mkdtemp(prefix="stackscope-ckpt-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for the narrow tables of a loop."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Written Parquet table, for wide tables read many times with few columns each."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,6 +20,7 @@ def spark():
          # tiny inputs: compiling code for each of many plans would take most of the time
          .config("spark.sql.codegen.wholeStage", "false")
          .config("spark.sql.adaptive.enabled", "false")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="test-ckpt-"))

@@ -7,21 +7,34 @@ from stackscope.knowledge import RuleEntry
 from stackscope.operators import baseline as B
 from stackscope.operators import export, fleet, history, locks, quality, series, single, stuck
 from stackscope.operators.derive import derive
-from stackscope.operators.findings import DETECTORS, detector, finding, run_detectors
+from stackscope.operators.findings import DETECTORS, Context, detector, finding, run_detectors
 from stackscope.operators.pauses import pause_covers
 from stackscope.operators.redact import redact
+from stackscope.operators.rules import evaluate_rules
 from stackscope.plans.analyze import analyze, release_drift
-from stackscope.session import cut
+from stackscope.session import store
 from stackscope.sources.hotspot import parse_hotspot
 from stackscope.sources.tables import Tables
 
 
 def stored(t: Tables) -> Tables:
-    return Tables(cut(t.dump), cut(t.thread), cut(t.jvm_cycle), cut(t.parse_issue))
+    return Tables(store(t.dump), store(t.thread), store(t.jvm_cycle), store(t.parse_issue))
+
+
+_PARSED: dict = {}
 
 
 def parse(spark, lines, series="series"):
-    return stored(parse_hotspot(line_table(spark, lines, series=series)))
+    """Stored tables of the text; the same text is parsed once per session."""
+    key = (series, tuple(lines))
+    if key not in _PARSED:
+        _PARSED[key] = stored(parse_hotspot(line_table(spark, lines, series=series)))
+    return _PARSED[key]
+
+
+def fired(t, rule):
+    d = derive(t.thread)
+    return evaluate_rules(d, t.dump, series.series_index(d), (rule,))
 
 
 def wants(a):
@@ -170,11 +183,11 @@ def test_saturated_pools_and_gating(spark):
 def test_rule_with_persistence_and_cpu(spark):
     rule = RuleEntry("spin", "{count} in {dump}", "CRITICAL", "r", frames=("Loop.spin",), persist_dumps=3,
                      cpu_delta="spinning", critical_threads=1)
-    a = analyze(parse(spark, stuck_series()), rules=(rule,))
-    r = a.findings.filter("id = 'spin'").first()
+    t = parse(spark, stuck_series())
+    r = fired(t, rule).first()
     assert (r.severity, r.title, r.confidence) == ("CRITICAL", "1 in 0", "high")
     calm = RuleEntry("calm", "c", "WARNING", "r", frames=("Loop.spin",), cpu_delta="zero")
-    assert analyze(parse(spark, stuck_series()), rules=(calm,)).findings.filter("id = 'calm'").count() == 0
+    assert fired(t, calm).count() == 0
 
 
 def test_site_detector(spark):
@@ -182,7 +195,8 @@ def test_site_detector(spark):
     def site(ctx):
         return finding(ctx.thread.filter("name = 'mover'").select("series_id").distinct(), "site-check", "INFO", "t", "d", "r")
     try:
-        ctx = analyze(parse(spark, stuck_series())).context
+        t = parse(spark, stuck_series())
+        ctx = Context(t.dump, derive(t.thread), *[None] * 6)
         assert [r.id for r in run_detectors(ctx, ["site-check"]).collect()] == ["site-check"]
     finally:
         del DETECTORS["site-check"]
@@ -263,6 +277,7 @@ def test_pause_cover_against_brute_force(spark):
 
 def test_options_reach_the_operators(spark):
     o = Options(stuck_k=4, pool_patterns=(("mine", r"mo(ver)"),))
-    a = analyze(parse(spark, stuck_series()), options=o)
-    assert a.context.verdicts.count() == 0
-    assert {r.pool for r in a.context.thread.filter("name = 'mover'").collect()} == {"mine ver"}
+    t = parse(spark, stuck_series())
+    d = derive(t.thread, o)
+    assert series.stuck_candidates(series.series_index(d), t.dump, o.stuck_k).count() == 0
+    assert {r.pool for r in d.filter("name = 'mover'").collect()} == {"mine ver"}
