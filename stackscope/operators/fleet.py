@@ -68,10 +68,9 @@ def unique_stack_outliers(t: DataFrame, top_stacks: int = 15) -> DataFrame:
     """Stacks shared by at least five threads on one node and seen on no other."""
     stacks = node_stacks(t, top_stacks)
     seen = stacks.groupBy("stack_hash").agg(F.count("*").alias("_nodes"), F.min("series_id").alias("_node"))
-    fleet = java_threads(t).agg(F.count_distinct("series_id").alias("_fleet"))
+    nodes = java_threads(t).agg(F.count_distinct("series_id")).scalar()
     own = stacks.join(seen.filter("_nodes = 1"), "stack_hash").filter(F.col("n") >= UNIQUE_STACK_MIN_COUNT)
-    many = fleet.filter("_fleet >= 2").withColumn("_one", F.lit(1))
-    return own.withColumn("_one", F.lit(1)).join(many, "_one", "left_semi").select(
+    return own.filter(nodes >= 2).select(
         "series_id", "stack_hash", "n",
         F.coalesce(F.regexp_replace(F.try_element_at("stack", F.lit(1)), r"\(.*", ""),
                    F.lit("an unrecognized stack")).alias("where"))

@@ -12,23 +12,33 @@ from stackscope.session import cut
 DUMP = ["series_id", "dump_idx"]
 
 
-def _prefixes(t: DataFrame, max_depth: int, sep: str = "\n") -> DataFrame:
+def _prefixes(t: DataFrame, max_depth: int, keep: str | None = None, sep: str = "\n") -> DataFrame:
     """(dump, thread, depth, path) of every root-first prefix of a stack."""
+    more = [keep] if keep else []
     raw = F.slice(F.reverse(F.transform("frames", lambda f: f["raw"])), 1, max_depth)
-    return t.filter(F.size("frames") > 0).select(*DUMP, "thread_ord", "name", raw.alias("_p")).select(
-        *DUMP, "thread_ord", "name",
+    return t.filter(F.size("frames") > 0).select(*DUMP, "thread_ord", "name", *more, raw.alias("_p")).select(
+        *DUMP, "thread_ord", "name", *more,
         F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.struct(
             i.alias("depth"), F.array_join(F.slice("_p", 1, i), sep).alias("path"),
             F.element_at("_p", i).alias("frame"), F.when(i > 1, F.array_join(
                 F.slice("_p", 1, i - 1), sep)).alias("parent")))).alias("n")) \
-        .select(*DUMP, "thread_ord", "name", "n.*")
+        .select(*DUMP, "thread_ord", "name", *more, "n.*")
+
+
+def _path_counts(t: DataFrame, max_depth: int) -> DataFrame:
+    """Threads per root-first path. Equal stacks are counted first, so prefixes are
+    written out once per distinct stack and not once per thread."""
+    raw = F.transform("frames", lambda f: f["raw"])
+    stacks = t.filter(F.size("frames") > 0).groupBy(*DUMP, F.md5(F.concat_ws("\n", raw)).alias("_k")).agg(
+        F.count("*").alias("_n"), F.min("thread_ord").alias("thread_ord"),
+        F.first("frames").alias("frames"), F.first("name").alias("name"))
+    return _prefixes(stacks, max_depth, keep="_n").groupBy(*DUMP, "depth", "path", "parent", "frame").agg(
+        F.sum("_n").alias("n"), F.min("thread_ord").alias("first_ord"))
 
 
 def flame_trie(t: DataFrame, max_depth: int = 30) -> DataFrame:
-    """Threads per root-first path of the RUNNABLE threads; counted before the shuffle."""
-    return _prefixes(t.filter(F.col("state") == "RUNNABLE"), max_depth).groupBy(
-        *DUMP, "depth", "path", "parent", "frame").agg(
-        F.count("*").alias("n"), F.min("thread_ord").alias("first_ord"))
+    """Threads per root-first path of the RUNNABLE threads."""
+    return _path_counts(t.filter(F.col("state") == "RUNNABLE"), max_depth)
 
 
 def flame_threads(t: DataFrame, max_depth: int = 30, names: int = 20) -> DataFrame:
@@ -47,9 +57,7 @@ def call_stack_tree(t: DataFrame, max_depth: int = 40, max_nodes: int = 3000,
     meaning of the last frame, and its rank within the dump (level by level, most
     frequent first), cut at ``max_nodes``.
     """
-    nodes = _prefixes(t, max_depth).groupBy(*DUMP, "depth", "path", "parent", "frame").agg(
-        F.count("*").alias("n"), F.min("thread_ord").alias("first_ord"))
-    nodes = cut(nodes)
+    nodes = cut(_path_counts(t, max_depth))
     kids = nodes.groupBy(*DUMP, F.col("parent").alias("path")).agg(
         F.count("*").alias("_kids"), F.max("n").alias("_kid_n"))
     j = nodes.join(kids, [*DUMP, "path"], "left")

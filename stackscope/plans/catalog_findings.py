@@ -11,7 +11,7 @@ from stackscope.operators import pauses as P
 from stackscope.operators import rules as R
 from stackscope.operators import series as S
 from stackscope.plans.analyze import analyze
-from stackscope.plans.catalog_locks import CLOSURE
+from stackscope.plans.catalog_locks import CHAIN, CLOSURE, CYCLES, chain_threads
 from stackscope.plans.catalog_series import VERDICTS, order_threads, snapshot, verdicts
 from stackscope.plans.registry import flat, query
 from stackscope.plans.snapshots import error_pauses, event_tables, read
@@ -253,9 +253,10 @@ def _(spark, sf):
     return _finding_rows(D.thread_leak(c), "pool", "growth").drop("series_id")
 
 
-@query("finding_deadlocks", None)
+@query("finding_deadlocks", CHAIN + CLOSURE + "," + CYCLES + """
+SELECT 'all' AS series_id, 'deadlock' AS id, 'CRITICAL' AS severity, CAST(dump_idx AS VARCHAR) AS dump,
+  '["' || string_agg(node, '","' ORDER BY node) || '"]' AS threads, 'wait-for-graph' AS source FROM ids GROUP BY dump_idx, cycle_id""")
 def _(spark, sf):
-    from stackscope.plans.catalog_locks import chain_threads
     cycles = L.deadlock_cycles(L.deadlock_members(L.waits_for(chain_threads(spark, sf))))
     c = _context(spark, sf, False, cycles=cycles)
     return _finding_rows(D.deadlock(c), "dump", "threads", "source")

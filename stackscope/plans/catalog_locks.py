@@ -116,7 +116,7 @@ def _jvm_report(spark, sf):
         (q % 97).alias("pos"), F.col("c_name").alias("thread_name"))
 
 
-_CYCLES = """
+CYCLES = """
 on_cycle AS (SELECT dump_idx, node FROM reach WHERE node = anc),
 ids AS (SELECT r.dump_idx, r.node, min(r.anc) AS cycle_id FROM reach r JOIN on_cycle a ON a.dump_idx = r.dump_idx AND a.node = r.node
         GROUP BY r.dump_idx, r.node),
@@ -126,7 +126,7 @@ told AS (SELECT c.dump_idx, m.cycle_id, c.name AS node FROM c JOIN (
 """
 
 
-@query("deadlock_members", CHAIN + CLOSURE + "," + _CYCLES + """
+@query("deadlock_members", CHAIN + CLOSURE + "," + CYCLES + """
 SELECT dump_idx, cycle_id, 'jvm' AS source, node AS name FROM told
 UNION ALL SELECT dump_idx, cycle_id, 'wait-for-graph', node FROM ids""")
 def _(spark, sf):
@@ -134,7 +134,7 @@ def _(spark, sf):
     return flat(L.deadlock_members(L.waits_for(t), _jvm_report(spark, sf)), "dump_idx", "cycle_id", "source", "name")
 
 
-@query("deadlock_cycles", CHAIN + CLOSURE + "," + _CYCLES + """
+@query("deadlock_cycles", CHAIN + CLOSURE + "," + CYCLES + """
 , m AS (SELECT dump_idx, cycle_id, 0 AS r, node FROM told UNION ALL SELECT dump_idx, cycle_id, 1, node FROM ids),
 s AS (SELECT dump_idx, cycle_id, r, count(*) AS size, string_agg(node, ',' ORDER BY node) AS threads FROM m GROUP BY ALL)
 SELECT dump_idx, threads, size, CASE WHEN min(r) = 0 THEN 'jvm' ELSE 'wait-for-graph' END AS source FROM s GROUP BY dump_idx, threads, size""")
