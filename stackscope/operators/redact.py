@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stackscope.functions.scan import running
 from stackscope.knowledge import HOST_SUFFIXES
+from stackscope.session import store
 
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -62,9 +63,12 @@ def redact(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]
     blank = src.withColumn(text, F.regexp_replace(
         F.regexp_replace(text, EMAIL, "user-0@host-0"), IPV4, "ip-0"))
     two = _tokens(blank, text, HOST, 1).withColumn("kind", F.lit("host"))
+    # the texts are searched once; everything below works on the stored matches
+    found = store(one.unionByName(two))
+    one, two = found.filter("stage = 0"), found.filter("stage = 1")
     domain = one.filter("kind = 'email'").select(
         "_id", "stage", "pos", F.substring_index("token", "@", -1).alias("token"), F.lit("host").alias("kind"))
-    named = _number(_first_seen(one.unionByName(two).unionByName(domain)))
+    named = store(_number(_first_seen(found.unionByName(domain))))
     hosts = _host_pseudonyms(named.filter("kind = 'host'"))
     emails = named.filter("kind = 'email'").select("token", "ord", F.substring_index(
         "token", "@", -1).alias("_d")).join(

@@ -16,6 +16,7 @@ from stackscope.plans.catalog_locks import CLOSURE
 from stackscope.plans.registry import flat, query
 from stackscope.plans.snapshots import event_tables, read
 from stackscope.plans.sqlbase import snap
+from stackscope.session import store
 from stackscope.sources.series import order_series
 from stackscope.sources.tables import conform
 
@@ -96,6 +97,7 @@ judged AS (SELECT *, CASE kind
 
 
 def verdicts(t, d, min_run=3):
+    d = store(d)
     edges = L.waits_for(d)
     c = S.stuck_candidates(S.series_index(d), t.dump, min_run)
     return K.classify_stuck(c, L.contended_locks(d), L.transitive_victims(edges))

@@ -13,6 +13,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # threads are grouped with a few KB each; the default of 128 groups sorts far too early
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "8192")
     return spark
 
 

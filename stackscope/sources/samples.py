@@ -8,12 +8,15 @@ from pyspark.sql import types as T
 
 from stackscope import schema
 from stackscope.functions.frames import parse_frame
+from stackscope.functions.scan import running
 from stackscope.sources.series import order_series
 from stackscope.sources.tables import Tables, conform
 
 MIN_SLICE_MS = 100
 MAX_SLICES = 300
 MAX_FRAMES = 40
+#: finest buckets per chunk of a running value
+CHUNK = 1 << 20
 
 
 def slice_width(exec_sample: DataFrame, slice_ms: int, max_slices: int = MAX_SLICES) -> DataFrame:
@@ -25,9 +28,13 @@ def slice_width(exec_sample: DataFrame, slice_ms: int, max_slices: int = MAX_SLI
     base = max(MIN_SLICE_MS, slice_ms)
     ms = F.unix_millis("ts")
     fine = exec_sample.withColumn("_b", F.floor(ms / base).cast("long"))
-    buckets = fine.select("series_id", "_b").distinct()
-    counted = buckets.groupBy("series_id").agg(
-        *[F.count_distinct(F.floor(F.col("_b") / (1 << d))).alias(f"n{d}") for d in range(0, 25)])
+    buckets = fine.select("series_id", "_b").distinct().withColumn("_chunk", F.floor(F.col("_b") / CHUNK))
+    # doubled d times, a bucket is new unless it equals the one before it there, that is
+    # unless the two differ only in their d lowest bits
+    step = running(buckets, ["series_id"], "_chunk", ["_b"], prev={"_p": F.col("_b")})
+    differ = F.when(F.col("_p").isNotNull(), F.col("_b").bitwiseXOR(F.col("_p")))
+    counted = step.groupBy("series_id").agg(*[
+        F.count(F.when(differ.isNull() | (differ >= (1 << d)), 1)).alias(f"n{d}") for d in range(0, 25)])
     width = None
     for d in range(0, 25):
         cond = F.col(f"n{d}") <= max_slices
@@ -47,7 +54,7 @@ def slice_samples(exec_sample: DataFrame, slice_ms: int = 1000,
     df = exec_sample.join(width, "series_id").withColumn(
         "bucket", F.floor(F.unix_millis("ts") / F.col("slice_ms")).cast("long") * F.col("slice_ms"))
     latest = df.groupBy("series_id", "bucket", "slice_ms", "thread_id", "thread_name").agg(
-        F.max_by(F.struct("os_tid", "frames"), F.struct("ts", F.to_json("frames"))).alias("s"))
+        F.max_by(F.struct("os_tid", "frames"), F.struct("ts", "frames")).alias("s"))
     dump = order_series(
         latest.select("series_id", "bucket", "slice_ms").distinct().select(
             "series_id", F.timestamp_millis("bucket").alias("ts"), "bucket", "slice_ms"),
