@@ -4,8 +4,9 @@ A document is its set of word shingles. Equal sets form a class first, so copies
 Class representatives are hashed by 128 MinHash samples. 32 bands of 4 samples give buckets; a pair at
 the similarity bound shares no bucket with probability (1 - 0.8^4)^32, below 5e-8.
 The samples are folded into an odd sketch: sample i toggles one of 1024 bits, and the population
-count of the XOR of two sketches estimates their similarity, precisely where it is high. A pair goes
-on only below a count that a pair at the bound exceeds with odds below one in a million, and is then
+count of the XOR of two sketches estimates their similarity, precisely where it is high. A second odd sketch folds the
+whole set; its XOR counts the shingles that only one side has, which is sharper for all but very long texts. A pair goes
+on only below counts that a pair at the bound exceeds with odds below one in a million, and is then
 confirmed on the full sets.
 
 No bucket is expanded into pairs. First each member is compared with the smallest id of its bucket
@@ -16,6 +17,8 @@ compared by sketch inside a join that only lets candidates out.
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 from stackscope.llm.common import ascii_words, components, in_batches, mix, odd_numbers, shingle_hashes, word_hashes
 from stackscope.session import store
 
-BANDS, ROWS, BITS = 32, 4, 1024
-LONGS = BITS // 64
+BANDS, ROWS, BITS, SET_BITS = 32, 4, 1024, 2048
+LONGS, SET_LONGS = BITS // 64, SET_BITS // 64
+#: up to so many ids of candidates are broadcast (8 bytes each); more are joined by shuffles
+BROADCAST_IDS = 1_000_000
 
 
 def most_odd_bits(percent: int) -> int:
@@ -36,8 +41,14 @@ def most_odd_bits(percent: int) -> int:
     return math.ceil(mean + 3 * 2 * math.sqrt(differ * differ / (2 * BITS)))
 
 
+def odd_sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the hashes in each of ``bits`` places, as longs."""
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, n, f1, f2, bands, sketch): set size, fingerprint of the set, bucket keys, odd sketch."""
+    """(id, n, f1, f2, bands, sketch, whole): set size, fingerprint of the set, bucket keys, odd sketches."""
     cache: list = []
 
     def work(cols: dict) -> dict:
@@ -46,29 +57,28 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                           mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(99)),
                           mix(np.arange(BANDS * ROWS, dtype=np.uint64) + np.uint64(12345))])
         words, mult, fold, band_salt, sample_salt = cache
-        out: dict[str, list] = {c: [] for c in ("id", "n", "f1", "f2", "bands", "sketch")}
+        out: dict[str, list] = {c: [] for c in ("id", "n", "f1", "f2", "bands", "sketch", "whole")}
         for i, text in zip(cols["id"], cols["text"]):
             h = shingle_hashes(ascii_words(text), shingle, words)
             out["id"].append(i)
             out["n"].append(len(h))
             if not len(h):
-                for c in ("f1", "f2", "bands", "sketch"):
+                for c in ("f1", "f2", "bands", "sketch", "whole"):
                     out[c].append(None)
                 continue
             low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
             for at in range(0, len(h), 2048):
                 np.minimum(low, (h[at:at + 2048] * mult).min(axis=1), out=low)
             keys = mix((low.reshape(BANDS, ROWS) * fold).sum(axis=1, dtype=np.uint64) ^ band_salt)
-            spots = mix(low ^ sample_salt) % np.uint64(BITS)
-            odd = np.bincount(spots.astype(np.int64), minlength=BITS) & 1
             out["f1"].append(int(np.bitwise_xor.reduce(mix(h * np.uint64(3))).astype(np.int64)))
             out["f2"].append(int(h.sum(dtype=np.uint64).astype(np.int64)))
             out["bands"].append(keys.astype(np.int64))
-            out["sketch"].append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            out["sketch"].append(odd_sketch(mix(low ^ sample_salt), BITS))
+            out["whole"].append(odd_sketch(mix(h ^ np.uint64(31)), SET_BITS))
         return out
 
     return in_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), work,
-                      "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
+                      "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -98,9 +108,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = sig.where("id is not null and n > 0")
     classes = live.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     members = store(live.join(classes, ["f1", "f2"]).select(
-        "id", "rep", "n", *[F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "sketch")]))
+        "id", "rep", "n", *[F.when(F.col("id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "sketch", "whole")]))
     heads = members.where("id = rep").select("rep", "n", "bands", *[
-        F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)])
+        F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)], *[F.col("whole")[i].alias(f"t{i}") for i in range(SET_LONGS)])
     nodes = heads.drop("bands")
     rows = heads.select("rep", F.explode("bands").alias("key"))
 
@@ -147,10 +157,17 @@ def _any(df: DataFrame) -> bool:
 
 def _close(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches of two sides allow the similarity."""
-    odd = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, LONGS)),
-              F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    def differ(letter: str, n: int) -> Column:
+        each = [F.bit_count(F.col(f"{a}.{letter}{i}").bitwiseXOR(F.col(f"{b}.{letter}{i}"))) for i in range(n)]
+        return reduce(operator.add, each)
+
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (small * 100 >= large * percent) & (odd <= most_odd_bits(percent))
+    # shingles of one side alone, at most; each flips a place, so small counts are no estimate but a bound
+    alone = (small + large) * (100 - percent) / (100 + percent)
+    p = (1 - F.exp(-2 * alone / SET_BITS)) / 2
+    most = F.least(alone, SET_BITS * p + 6 * F.sqrt(SET_BITS * p * (1 - p)))
+    return ((small * 100 >= large * percent) & (differ("t", SET_LONGS) <= most)
+            & (differ("s", LONGS) <= most_odd_bits(percent)))
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -172,6 +189,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sh
     """The pairs whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     sets = store(shingle_sets(texts.join(ids, "id", "left_semi"), shingle))
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("xs"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("ys"))
