@@ -60,7 +60,7 @@ class Encoder:
         byte_of |= {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
         ranks = {bytes(byte_of[c] for c in word): k for word, k in vocab.items() if word != "<|endoftext|>"}
         self.model = tiktoken.Encoding("packing", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.known = Cache(self.bytes, limit=1_000_000)
+        self.known = Cache(self.bytes, limit=500_000)
 
     def bytes(self, text: str) -> bytes:
         return np.array(self.model.encode_ordinary(text), "<u4").tobytes() if len(text) > 99 else array(

@@ -12,7 +12,6 @@ long texts are walked in segments side by side, exactly.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +28,7 @@ FLOOR, CEIL = 1e-30, 1e30
 @dataclass
 class Params:
     """Bounds of the training sample, and the training's settings."""
-    per_class: int = 1500           # documents of each label, those with the smallest hash of their id
+    per_class: int = 1200           # documents of each label, those with the smallest hash of their id
     max_chars: int = 12_000         # longer documents are not taken as training material
     ratio: float = 12.0             # how much commoner in toxic documents a cue must be
     sure: float = 4.5               # standard deviations by which it must be
@@ -204,57 +203,54 @@ def posteriors(emit: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
     return np.split(p / (1 + p), np.cumsum(lengths)[:-1])
 
 
-def cues(toxic: list[list[str]], clean: list[list[str]], p: Params) -> set[str]:
-    """Words and word beginnings (marked by a trailing star) that are much commoner in toxic documents.
+def cues(toxic: list[np.ndarray], clean: list[np.ndarray], words: list[str], p: Params) -> np.ndarray:
+    """Which words are cues, or begin like one: much commoner in toxic documents; documents are arrays of word numbers.
 
     Each counts by the different words before and after it, the fewer of both, so copies of one document make no cue.
     """
-    def count(docs: list[list[str]]) -> Counter:
-        pairs: tuple[set, set] = (set(), set())
-        for d in docs:
-            low = [w.lower() for w in d]
-            pairs[0].update(zip(low[1:], low))             # (word, word before)
-            pairs[1].update(zip(low, low[1:]))             # (word, word after)
+    n = len(words)
+    starts: dict[str, int] = {}
+    begin = np.array([[starts.setdefault(w[:k], len(starts)) if len(w) > k else -1 for k in (4, 5, 6)] for w in words])
+
+    def count(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        before = [np.zeros(0, np.int64), *(d[1:] * n + d[:-1] for d in docs)]
+        after = [np.zeros(0, np.int64), *(d[:-1] * n + d[1:] for d in docs)]
         sides = []
-        for own in pairs:
-            c: Counter = Counter()
-            for w, _ in own:
-                c[w] += 1
-                for k in (4, 5, 6):
-                    if len(w) > k:
-                        c[w[:k] + "*"] += 1
-            sides.append(c)
-        return Counter({w: min(n, sides[1][w]) for w, n in sides[0].items()})
-
-    t, n = count(toxic), count(clean)
-    every_t, every_n = max(1, sum(map(len, toxic))), max(1, sum(map(len, clean)))
-    scale = every_t / every_n
-    return {w for w, k in t.items() if k >= p.ratio * (n[w] + 0.5) * scale
-            and k - n[w] * scale >= p.sure * np.sqrt(k + n[w] * scale * scale + 1)}
+        for pairs in (before, after):
+            own = np.unique(np.concatenate(pairs)) // n
+            by_start = np.zeros(len(starts))
+            for column in begin.T:
+                at = column[own]
+                by_start += np.bincount(at[at >= 0], minlength=len(starts))
+            sides.append((np.bincount(own, minlength=n), by_start))
+        return tuple(np.minimum(x, y) for x, y in zip(*sides))
+
+    scale = max(1, sum(map(len, toxic))) / max(1, sum(map(len, clean)))
+
+    def common(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (t >= p.ratio * (c + 0.5) * scale) & (t - c * scale >= p.sure * np.sqrt(t + c * scale * scale + 1))
+
+    word, start = (common(t, c) for t, c in zip(count(toxic), count(clean)))
+    return word | (np.append(start, False)[begin]).any(axis=1)
 
 
 def train(texts: list[str], toxic: list[int], p: Params | None = None) -> Chain:
     """The chain from labelled texts, by full-batch Adagrad on the likelihood of the token labels."""
     p = p or Params()
-    docs = [WORD.findall(t or "") for t in texts]
-    keep = [k for k, d in enumerate(docs) if d]
-    docs, marks = [docs[k] for k in keep], np.array([toxic[k] for k in keep], int)
-    found = cues([d for d, y in zip(docs, marks) if y], [d for d, y in zip(docs, marks) if not y], p)
-    model = Chain(np.zeros(DIM), np.array([0.02, 1.0, 0.1]), np.array([-2.0, 1.0, 1.0]))
-    if not docs or marks.min() == marks.max():
-        return Chain(model.weight, model.move, np.array([0.0 if not docs else (4.0 if marks[0] else -4.0), 0.0, 0.0]))
-
-    def offends(w: str) -> bool:
-        w = w.lower()
-        return w in found or any(len(w) > k and w[:k] + "*" in found for k in (4, 5, 6))
-
     vocab: dict[str, int] = {}
-    coded = [np.array([vocab.setdefault(w, len(vocab)) for w in d]) for d in docs]
-    feats = [_features(w) for w in vocab]
+    coded = [np.array([vocab.setdefault(w, len(vocab)) for w in WORD.findall((t or "").lower())], np.int64) for t in texts]
+    keep = [k for k, d in enumerate(coded) if len(d)]
+    coded, marks = [coded[k] for k in keep], np.array([toxic[k] for k in keep], int)
+    model = Chain(np.zeros(DIM), np.array([0.02, 1.0, 0.1]), np.array([-2.0, 1.0, 1.0]))
+    if not coded or marks.min() == marks.max():
+        return Chain(model.weight, model.move, np.array([0.0 if not coded else (4.0 if marks[0] else -4.0), 0.0, 0.0]))
+    words = list(vocab)
+    bad, n_words = cues([d for d, y in zip(coded, marks) if y], [d for d, y in zip(coded, marks) if not y], words, p), len(words)
+    feats = [_features(w) for w in words]
     own, left, right = np.array([f[0] for f in feats]), np.array([f[1] for f in feats]), np.array([f[2] for f in feats])
-    bad, n_words = np.array([offends(w) for w in vocab]), len(vocab)
+    del feats
     # every third document is kept for the curve, since the chain knows the others too well
-    part = [k for k in range(len(docs)) if k % 3]
+    part = [k for k in range(len(coded)) if k % 3]
     ids, lengths = np.concatenate([coded[k] for k in part]), np.array([len(coded[k]) for k in part])
     truth = bad[ids] * np.repeat(marks[part], lengths).astype(float)
     first, _ = _ends(lengths)
@@ -282,8 +278,11 @@ def train(texts: list[str], toxic: list[int], p: Params | None = None) -> Chain:
         move_sq += move_g * move_g
         log_move = np.clip(log_move + 0.1 * move_g / np.sqrt(move_sq), -8, 8)
     chain = Chain(weight, np.exp(log_move), np.zeros(3), model.constant)
-    rest = [k for k in range(len(docs)) if k % 3 == 0]
-    x = np.array([[1.0, *summary(v)] for v in chain.marginals([docs[k] for k in rest])]).reshape(-1, 3)
+    rest = [k for k in range(len(coded)) if k % 3 == 0]
+    s = combine(np.concatenate([coded[k] for k in rest]), np.array([len(coded[k]) for k in rest]),
+                weight[own].sum(axis=1) + model.constant, weight[left], weight[right])
+    found = posteriors(np.split(s, np.cumsum([len(coded[k]) for k in rest])[:-1]), np.exp(log_move))
+    x = np.array([[1.0, *summary(v)] for v in found]).reshape(-1, 3)
     y = marks[rest].astype(float)
     chain.curve = _logistic(x, y, np.where(y == 1, 1.0, p.clean_weight))
     return chain
