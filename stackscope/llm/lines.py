@@ -13,6 +13,7 @@ repeated units of at least ``min_words`` words. Offsets of the removed spans ref
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -31,24 +32,19 @@ def _word_cache() -> Cache:
 
 
 def units(text: str, cache: Cache) -> tuple[np.ndarray, ...]:
-    """(digest, first word, words, line, start, end) of the units of a text, and the same of its lines.
+    """(digest, first word, words, line) of the units of a text.
 
     Digests are polynomial hashes of the word hashes, read off prefix sums; arithmetic is modulo 2^64.
     """
-    spans, line_of, words = [], [], []
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        for m in TOKEN.finditer(line):
-            spans.append((at + m.start(), at + m.end()))
-            line_of.append(number)
-            words.append(m.group())
-        at += len(line) + 1
+    by_line = [line.split() for line in text.split("\n")]
+    sizes = [len(x) for x in by_line]
+    words = list(chain.from_iterable(by_line))
     n = len(words)
     if not n:
         e = np.empty(0, np.int64)
-        return (e,) * 6
+        return (e,) * 4
     w = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    row = np.array(line_of)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     new_line = np.r_[True, row[1:] != row[:-1]]
     before = np.where(new_line, np.uint64(0), np.r_[np.uint64(0), w[:-1]])
     cut = new_line | np.r_[False, (mix(w[:-1] * np.uint64(3) + before[:-1]) % CUT == 0)]
@@ -59,8 +55,13 @@ def units(text: str, cache: Cache) -> tuple[np.ndarray, ...]:
     power = np.cumprod(np.r_[np.uint64(1), np.full(int(pos.max()), PRIME)])
     sums = np.add.reduceat(mix(w) * power[pos], first)
     digest = mix(sums ^ (last - first).astype(np.uint64)).astype(np.int64)
-    span = np.array(spans)
-    return digest, first, last - first, row[first], span[first, 0], span[last - 1, 1]
+    return digest, first, last - first, row[first]
+
+
+def places(text: str, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each unit in the text."""
+    span = np.array([m.span() for m in TOKEN.finditer(text)]).reshape(-1, 2)
+    return span[first, 0], span[first + n - 1, 1]
 
 
 def line_digests(unit_digest: np.ndarray, unit_line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,27 +92,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
     def digests(cols: dict) -> dict:
         if not cache:
             cache.append(_word_cache())
-        out: dict[str, list] = {"id": [], "rank": [], "d": [], "p": []}
+        out: dict[str, list] = {"id": [], "rank": [], "d": []}
         for i, r, t in zip(cols["id"], cols["rank"], cols["text"]):
-            d, _, _, row, _, _ = units(t or "", cache[0])
-            ld, at = line_digests(d, row)
-            every = np.r_[d, ld]
-            # lines sort before their units; the first occurrence inside the text is enough
-            place = np.r_[np.arange(len(d)) * 2 + 1, at * 2]
-            order = np.argsort(place)
-            every, keep = np.unique(every[order], return_index=True)
+            d, _, _, row = units(t or "", cache[0])
+            ld, _ = line_digests(d, row)
+            every = np.unique(np.r_[d, ld])
             out["id"] += [i] * len(every)
             out["rank"] += [r] * len(every)
             out["d"] += every.tolist()
-            out["p"] += place[order][keep].tolist()
         return out
 
-    held = in_batches(base, digests, "id long, rank long, d long, p int")
+    held = in_batches(base, digests, "id long, rank long, d long")
     ident = F.coalesce("id", F.lit(2**63 - 1))
+    held = store(held)
     seen = store(held.groupBy("d").agg(F.min(F.struct("rank", ident.alias("id"))).alias("first"),
                                        F.max(F.struct("rank", ident.alias("id"))).alias("final"))
                  .where("first <> final").select("d", "first"))
-    held = store(held.select("id", "rank", "d"))
     later = (held.join(seen, "d").where(~((F.col("first.rank") == F.col("rank")) & (F.col("first.id") == ident)))
              .select("id", "rank", "d"))
     per_doc = later.groupBy("id", "rank").agg(F.collect_set("d").alias("gone"))  # one document's own units
@@ -123,9 +119,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
             cache.append(_word_cache())
         out: dict[str, list] = {c: [] for c in ("id", "text", "n_units", "n_removed", "removed")}
         for i, t, gone in zip(cols["id"], cols["text"], cols["gone"]):
-            d, _, n, row, start, end = units(t or "", cache[0])
+            d, first, n, row = units(t or "", cache[0])
             mask = _repeats(d, n, row, np.array(gone or [], np.int64), min_words)
-            cuts = _cuts(t or "", mask, row, start, end)
+            cuts = _cuts(t, mask, row, *places(t, first, n)) if mask.any() else []
             kept, at = [], 0
             for s, e in cuts:
                 kept.append(t[at:s])
