@@ -67,9 +67,9 @@ SQL: dict[str, str] = {}
 
 SQL["op3_exact_top_k"] = """
 WITH p AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT score
   FROM p q JOIN p c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
