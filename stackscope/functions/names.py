@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,13 +34,19 @@ def is_housekeeping(name: Column) -> Column:
     return full_match(name, "|".join(HOUSEKEEPING_NAMES))
 
 
+def group_count(pattern: str) -> int:
+    """Groups of a pattern, by the expressions of the JVM that the rules run with."""
+    jvm = SparkContext._active_spark_context._jvm
+    return jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+
+
 def assign_pool(name: Column, user_rules=()) -> Column:
     """Pool of a thread name, first matching rule wins; null when none matches."""
     out = None
     for base, pattern in user_rules:
         cond = full_match(name, pattern)
         value = F.lit(base)
-        if re.compile(pattern).groups:
+        if group_count(pattern):
             group = F.regexp_extract(name, "^(?:" + pattern + ")$", 1)
             value = F.when(group != "", F.concat(F.lit(base + " "), group)).otherwise(value)
         out = F.when(cond, value) if out is None else out.when(cond, value)

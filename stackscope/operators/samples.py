@@ -22,7 +22,8 @@ def pinned_events(pinned: DataFrame, n: int = 100) -> DataFrame:
     return pinned.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def pinned_summary(pinned: DataFrame, n: int = 100, frames: int = 12) -> DataFrame:
-    return pinned_events(pinned, n).groupBy("series_id").agg(
-        F.count("*").alias("n"), F.max("duration_ms").alias("max_ms"),
-        F.min_by(F.slice("frames", 1, frames), "rank").alias("frames"))
+def pinned_summary(pinned: DataFrame, frames: int = 12) -> DataFrame:
+    """Number and longest of all pinning events of a series, and the first frames of its earliest event."""
+    earliest = pinned_events(pinned, 1).select("series_id", F.slice("frames", 1, frames).alias("frames"))
+    return pinned.groupBy("series_id").agg(
+        F.count("*").alias("n"), F.max("duration_ms").alias("max_ms")).join(earliest, "series_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +53,10 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
             rules=BUNDLED_RULES) -> Analysis:
     """Plan every result of the engine over one or many series.
 
-    The derived thread table is written once: the parsers run once, and every
-    result scans only the columns it needs.
+    The parsed tables are written first, so no result goes back to the text, and every result
+    scans only the columns it needs.
     """
+    t = replace(t, dump=store(t.dump), jvm_cycle=store(t.jvm_cycle), parse_issue=store(t.parse_issue))
     thread = store(derive(t.thread, options, idle, meanings))
     dump = t.dump
     occ = series.series_index(thread)

@@ -36,8 +36,8 @@ def _(spark, sf):
 
 @query("evaluate_rules", snap(by_node=True, body=_RULES + """
 SELECT f.series_id, f.rule_id, severity, f.dump_idx, matched,
-  CAST(matched AS VARCHAR) || CASE f.rule_id WHEN 'connection-pool-exhaustion' THEN ' threads waiting for a database connection'
-    ELSE ' threads BLOCKED on synchronized logging' END AS title,
+  CAST(matched AS VARCHAR) || CASE f.rule_id WHEN 'connection-pool-exhaustion' THEN ' threads queue for a pooled connection'
+    ELSE ' threads held up by a log appender''s lock' END AS title,
   (SELECT string_agg(name, ',' ORDER BY u) FROM (SELECT name, u FROM rm m WHERE m.series_id = f.series_id AND m.rule_id = f.rule_id AND m.dump_idx = f.dump_idx
      ORDER BY u LIMIT 15)) AS threads FROM fired f"""))
 def _(spark, sf):
@@ -91,8 +91,8 @@ pf AS (SELECT series_id, arg_min(platform, o) AS platform, 5 AS score, arg_min(h
 
 
 @query("detect_middleware", snap(by_node=True, body=_MW + """
-SELECT series_id, platform, score, CASE platform WHEN 'WEBLOGIC' THEN 'ExecuteThread work-manager thread names'
-  WHEN 'WEBSPHERE' THEN '''WebContainer : N'' thread pool names' ELSE 'http/ajp connector exec thread names' END
+SELECT series_id, platform, score, CASE platform WHEN 'WEBLOGIC' THEN 'names of work manager threads'
+  WHEN 'WEBSPHERE' THEN 'web container threads by name' ELSE 'connector worker threads by name' END
   || ' (' || CAST(hits AS VARCHAR) || CASE WHEN hits = 1 THEN ' hit)' ELSE ' hits)' END AS evidence FROM pf"""))
 def _(spark, sf):
     t, d = snapshot(spark, sf, True)
@@ -426,8 +426,8 @@ _RANKED = _RULES + """
 , m AS (SELECT series_id, name, mark FROM snap WHERE mark IN ('[STUCK] ', '[HOGGING] ') GROUP BY ALL),
 f AS (SELECT series_id, CASE mark WHEN '[STUCK] ' THEN 'weblogic-stuck' ELSE 'weblogic-hogging' END AS id, CASE mark WHEN '[STUCK] ' THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
     'WebLogic marked ' || CAST(count(*) AS VARCHAR) || ' thread(s) ' || trim(mark) AS title, CASE mark WHEN '[STUCK] ' THEN 20 ELSE 21 END AS o FROM m GROUP BY series_id, mark
-  UNION ALL SELECT series_id, rule_id, severity, CAST(matched AS VARCHAR) || CASE rule_id WHEN 'connection-pool-exhaustion' THEN ' threads waiting for a database connection'
-    ELSE ' threads BLOCKED on synchronized logging' END, 100 FROM fired),
+  UNION ALL SELECT series_id, rule_id, severity, CAST(matched AS VARCHAR) || CASE rule_id WHEN 'connection-pool-exhaustion' THEN ' threads queue for a pooled connection'
+    ELSE ' threads held up by a log appender''s lock' END, 100 FROM fired),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, o, title) AS rank FROM f)
 """
 

@@ -257,28 +257,28 @@ def _(spark, sf):
 
 
 @query("parse_frames", """
-WITH w AS (SELECT doc_id, regexp_replace(split_part(split_part(text, chr(10), 1), ' ', 1), '[^A-Za-z0-9]', '', 'g') AS w1,
-    regexp_replace(split_part(split_part(text, chr(10), 1), ' ', 2), '[^A-Za-z0-9]', '', 'g') AS w2, n_chars FROM documents)
-SELECT doc_id, 'org.' || w1 || '.Main' AS cls, 'run' || w2 AS method,
+WITH s AS (SELECT doc_id, n_chars, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, n_chars, unnest(range(len(l))) AS line, regexp_replace(unnest(l), '[^A-Za-z0-9]', '', 'g') AS w FROM s)
+SELECT doc_id, line, 'org.L' || w || '.Main' AS cls, 'run' || CAST(line AS VARCHAR) AS method,
   CASE WHEN n_chars % 3 = 0 THEN 'Native Method' ELSE 'Main.java:' || CAST(n_chars AS VARCHAR) END AS loc,
-  'org.' || w1 || '.Main.run' || w2 AS sig, CAST(n_chars % 3 = 0 AS BIGINT) AS native FROM w""")
+  'org.L' || w || '.Main.run' || CAST(line AS VARCHAR) AS sig, CAST(n_chars % 3 = 0 AS BIGINT) AS native FROM w""")
 def _(spark, sf):
-    first = F.substring_index("text", "\n", 1)
-    word = lambda i: F.regexp_replace(F.coalesce(F.get(F.split(first, " "), F.lit(i)), F.lit("")), "[^A-Za-z0-9]", "")
-    line = F.concat(F.lit("\tat "), F.when(F.col("n_chars") % 2 == 0, "java.base@21/").otherwise(""), F.lit("org."), word(0),
-                    F.lit(".Main.run"), word(1), F.lit("("), F.when(F.col("n_chars") % 3 == 0, "Native Method").otherwise(
+    """Every line of every document as a frame."""
+    lines = read(spark, sf, "documents").select("doc_id", "n_chars", F.posexplode(F.split("text", "\n")).alias("line", "w"))
+    line = F.concat(F.lit("\tat "), F.when(F.col("n_chars") % 2 == 0, "java.base@21/").otherwise(""), F.lit("org.L"),
+                    F.regexp_replace("w", "[^A-Za-z0-9]", ""), F.lit(".Main.run"), F.col("line").cast("string"), F.lit("("), F.when(F.col("n_chars") % 3 == 0, "Native Method").otherwise(
                         F.concat(F.lit("Main.java:"), F.col("n_chars").cast("string"))), F.lit(")"))
     f = fr.parse_frame(line)
-    d = read(spark, sf, "documents").select("doc_id", f.alias("f"))
-    return flat(d, "doc_id", cls=F.col("f.cls"), method=F.col("f.method"), loc=F.col("f.loc"), sig=F.col("f.sig"),
+    d = lines.select("doc_id", "line", f.alias("f"))
+    return flat(d, "doc_id", "line", cls=F.col("f.cls"), method=F.col("f.method"), loc=F.col("f.loc"), sig=F.col("f.sig"),
                 native=F.col("f.native"))
 
 
 @query("j9_frames", """
-SELECT p_partkey, 'com.' || split_part(p_name, ' ', 1) || '.Job.run(Job.java:' || CAST(p_size AS VARCHAR) || ')' AS frame FROM part""")
+SELECT p_partkey, 'com.' || replace(p_name, ' ', '.') || '.Job.run(Job.java:' || CAST(p_size AS VARCHAR) || ')' AS frame FROM part""")
 def _(spark, sf):
     n = F.col("p_size").cast("string")
-    raw = F.concat(F.lit("at com/"), F.substring_index("p_name", " ", 1), F.lit("/Job.run(Job.java:"), n,
+    raw = F.concat(F.lit("at com/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("/Job.run(Job.java:"), n,
                    F.when(F.col("p_size") % 2 == 0, "(Compiled Code))").otherwise(")"))
     return flat(read(spark, sf, "part"), "p_partkey",
                 frame=F.regexp_replace(fr.normalize_j9_frame(raw), "^at ", ""))

@@ -284,10 +284,10 @@ def _merged(spark, sf, keep):
 
 
 @query("validate_rules", """
-SELECT CAST(p_partkey AS VARCHAR) AS rule_id, CASE e WHEN 1 THEN 'id, title, severity, recommendation are required' WHEN 2 THEN 'severity must be info|warning|critical, got LOUD'
-  WHEN 3 THEN 'unknown state LOST' WHEN 4 THEN 'match needs at least frames, name regex or states' WHEN 5 THEN 'cpuDelta must be any|zero|spinning'
+SELECT CAST(p_partkey AS VARCHAR) AS rule_id, CASE e WHEN 1 THEN 'a rule needs an id, a title, a severity and a recommendation' WHEN 2 THEN 'no such severity: LOUD'
+  WHEN 3 THEN 'no such thread state: LOST' WHEN 4 THEN 'a rule has to match on frames, names or states' WHEN 5 THEN 'no such processor time condition'
   ELSE 'bad name regex' END AS error
-FROM (SELECT p_partkey, unnest(CASE p_size % 7 WHEN 0 THEN [1] WHEN 1 THEN [2] WHEN 2 THEN [3] WHEN 3 THEN [4] WHEN 4 THEN [5] WHEN 5 THEN [6] ELSE [] END) AS e FROM part)""")
+FROM (SELECT p_partkey, unnest(CASE p_size % 7 WHEN 0 THEN [1] WHEN 1 THEN [2] WHEN 2 THEN [3] WHEN 3 THEN [4] WHEN 4 THEN [5] WHEN 5 THEN [6] ELSE CASE WHEN p_partkey % 2 = 0 THEN [6] ELSE [] END END) AS e FROM part)""")
 def _(spark, sf):
     k = F.col("p_size") % 7
     none = F.lit(None).cast("string")
@@ -295,7 +295,8 @@ def _(spark, sf):
         F.col("p_partkey").cast("string").alias("rule_id"), F.when(k == 0, "").otherwise(F.col("p_name")).alias("title"),
         F.when(k == 1, "LOUD").otherwise("warning").alias("severity"), F.lit("look").alias("recommendation"),
         F.when(k == 3, F.array().cast("array<string>")).otherwise(F.array("p_name")).alias("frames"),
-        F.when(k == 5, "(open").otherwise(none).alias("name_regex"),
+        F.when(k == 5, "(open").when((k == 6) & (F.col("p_partkey") % 2 == 0), "(?P<n>a)").when(k == 6, r"(?<n>a)\p{Alpha}+")
+        .otherwise(none).alias("name_regex"),
         F.when(k == 2, F.array(F.lit("blocked"), F.lit("LOST"))).otherwise(F.array().cast("array<string>")).alias("states"),
         F.when(k == 4, "sometimes").otherwise(none).alias("cpu_delta"))
     return flat(kb.validate_rules(r), "rule_id", error=F.when(
@@ -322,14 +323,14 @@ def pinned(spark, sf):
 
 @query("pinned_summary", """
 WITH e AS (SELECT 'n' || CAST(user_id % 10 AS VARCHAR) AS series_id, event_id, value, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'purchase')
-SELECT series_id, count(*) AS n, max(value) AS max_ms, 'frame-' || CAST(arg_min(event_id, r) AS VARCHAR) AS frames FROM e WHERE r <= 100 GROUP BY 1""")
+SELECT series_id, count(*) AS n, max(value) AS max_ms, 'frame-' || CAST(arg_min(event_id, r) AS VARCHAR) AS frames FROM e GROUP BY 1""")
 def _(spark, sf):
     return flat(SM.pinned_summary(pinned(spark, sf)), "series_id", "n", "max_ms", frames=F.array_join("frames", ","))
 
 
 @query("finding_pinned", """
 WITH e AS (SELECT 'n' || CAST(user_id % 10 AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'purchase')
-SELECT series_id, 'virtual-thread-pinned' AS id, 'WARNING' AS severity, CAST(count(*) AS VARCHAR) AS count FROM e WHERE r <= 100 GROUP BY 1""")
+SELECT series_id, 'virtual-thread-pinned' AS id, 'WARNING' AS severity, CAST(count(*) AS VARCHAR) AS count FROM e GROUP BY 1""")
 def _(spark, sf):
     from stackscope.operators import findings as D
     from stackscope.plans.catalog_findings import _context, _finding_rows
@@ -337,33 +338,34 @@ def _(spark, sf):
 
 
 def history(spark, sf):
-    """Document sources as past analyses; a stack is the start of a document in its language."""
+    """Document sources as past analyses; a stack is a line of a document in its language."""
     d = read(spark, sf, "documents")
     a = d.groupBy("source").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.min("lang").alias("lang"))
     analysis = a.select(F.col("source").alias("id"), F.timestamp_seconds(F.col("last") * 60).alias("ts"), F.concat(F.lit("Release "), F.col("lang")).alias("label"),
                         F.concat(F.lit("Incident with "), F.col("n").cast("string"), F.lit(" stacks, first "), F.col("first").cast("string")).alias("summary"),
                         F.when(F.col("first") % 2 == 0, F.concat(F.lit("base-"), F.col("source"))).alias("baseline"))
-    stacks = d.select(F.col("source").alias("analysis_id"), F.md5(F.concat("lang", F.substring("text", 1, 1))).alias("hash"))
+    stacks = d.select(F.col("source").alias("analysis_id"), "lang", F.explode(F.split("text", "\n")).alias("line")).select(
+        "analysis_id", F.md5(F.concat("lang", "line")).alias("hash"))
     return analysis, stacks
 
 
 _HISTORY = """
 WITH a AS (SELECT source AS id, max(doc_id) * 60 AS ts_s, 'Release ' || min(lang) AS label, 'Incident with ' || CAST(count(*) AS VARCHAR) || ' stacks, first ' || CAST(min(doc_id) AS VARCHAR) AS summary,
     CASE WHEN min(doc_id) % 2 = 0 THEN 'base-' || source END AS baseline FROM documents GROUP BY source),
-s AS (SELECT DISTINCT source AS id, md5(lang || substr(text, 1, 1)) AS hash FROM documents)
+s AS (SELECT DISTINCT source AS id, md5(lang || unnest(string_split(text, chr(10)))) AS hash FROM documents)
 """
 
 
 @query("similar_incidents", _HISTORY + """
-, q AS (SELECT lang AS query_id, md5(lang || substr(text, 1, 1)) AS hash FROM documents WHERE lang <> 'en' GROUP BY ALL UNION SELECT 'all', hash FROM s),
+, q AS (SELECT DISTINCT 'pair' || CAST(CAST(substr(id, 4) AS BIGINT) // 2 AS VARCHAR) AS query_id, hash FROM s),
 sh AS (SELECT query_id, id, count(*) AS shared FROM q JOIN s USING (hash) GROUP BY ALL),
 o AS (SELECT sh.*, shared / ((SELECT count(*) FROM s x WHERE x.id = sh.id) + (SELECT count(*) FROM q x WHERE x.query_id = sh.query_id) - shared) AS ov FROM sh)
 SELECT query_id, id AS analysis_id, label, shared, round(ov, 3) AS overlap, row_number() OVER (PARTITION BY query_id ORDER BY ov DESC, ts_s DESC, id) AS rank FROM o JOIN a USING (id) WHERE ov >= 0.3""")
 def _(spark, sf):
     analysis, stacks = history(spark, sf)
-    d = read(spark, sf, "documents")
-    q = d.filter("lang <> 'en'").select(F.col("lang").alias("query_id"), F.md5(F.concat("lang", F.substring("text", 1, 1))).alias("hash")) \
-        .unionByName(stacks.select(F.lit("all").alias("query_id"), "hash"))
+    # every two sources together are asked for
+    pair = F.floor(F.substring("analysis_id", 4, 9).cast("bigint") / 2).cast("string")
+    q = stacks.select(F.concat(F.lit("pair"), pair).alias("query_id"), "hash").distinct()
     return flat(H.similar_incidents(analysis, stacks, q), "query_id", "analysis_id", "label", "shared", "overlap", "rank")
 
 

@@ -206,10 +206,10 @@ def _dump_level(df: DataFrame, thread: DataFrame, keys: list[str]):
     has = thread.select(*keys).distinct().withColumn("_has", F.lit(True))
     msgs = dump.join(has, keys, "left").select(*keys, F.explode(F.array_compact(F.array(
         F.when(F.col("dump_reason").isNotNull(),
-               F.concat(F.lit("javacore dump event: "), F.col("dump_reason"))),
-        F.when(~F.col("_threads") & F.col("_has").isNull(), F.lit("no THREADS section found in javacore")),
+               F.concat(F.lit("trigger of the dump: "), F.col("dump_reason"))),
+        F.when(~F.col("_threads") & F.col("_has").isNull(), F.lit("the file lists no threads")),
         F.when(F.col("_noise") > 0, F.concat(
-            F.col("_noise").cast("string"), F.lit(' unrecognized line(s) skipped (first: "'),
+            F.col("_noise").cast("string"), F.lit(' line(s) fit no known form, the first being ("'),
             F.col("_noise_text"), F.lit('")')))))).alias("message"))
     names = df.filter((tag == "2LKDEADLOCKTHR") & (F.col("cycle_no") > 0) & line.rlike(CYCLE_THREAD)).select(
         *keys, "cycle_no", F.regexp_extract(line, CYCLE_THREAD, 1).alias("thread_name"), at.alias("at")) \

@@ -101,7 +101,7 @@ def test_interleaved_noise_and_issue_text(spark):
     lines.insert(at, "INFO noise in between")
     t = parse_hotspot(line_table(spark, lines))
     assert t.thread.select(F.size("frames")).first()[0] == 2
-    assert t.parse_issue.first().message == '1 unrecognized line(s) skipped inside the dump (first: "INFO noise in between")'
+    assert t.parse_issue.first().message == '1 line(s) of a dump fit no known form, the first being ("INFO noise in between")'
 
 
 def test_files_formats_and_order(spark, tmp_path):
