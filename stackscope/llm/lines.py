@@ -12,68 +12,99 @@ repeated units of at least ``min_words`` words. Offsets of the removed spans ref
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackscope.llm.common import Cache, in_batches, mix
+from stackscope.llm.common import in_batches, mix
 from stackscope.session import store
 
-TOKEN = re.compile(r"\S+")
-PRIME, CUT = np.uint64(0x9E3779B97F4A7C15), np.uint64(4)
+PRIME, CUT = 0x9E3779B97F4A7C15, np.uint64(4)
+#: white space among the code points; none lies beyond the table
+SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+#: code points hashed at a time, so that a very long text takes little more memory than its characters
+BLOCK = 1 << 20
+
+
+class Powers:
+    """The powers of PRIME and of its inverse modulo 2^64, as far as they were needed."""
+
+    def __init__(self):
+        self.grow(1 << 12)
+
+    def grow(self, n: int) -> None:
+        def powers(base: int) -> np.ndarray:
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            return np.cumprod(steps)
+
+        self.up, self.down = powers(PRIME), powers(pow(PRIME, -1, 1 << 64))
+
+    def hashes(self, values: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Polynomial hash, modulo 2^64, of each run of ``values`` that begins at one of ``first``."""
+        if len(values) > len(self.up):
+            self.grow(max(len(values), 2 * len(self.up)))
+        return mix(np.add.reduceat(values * self.up[:len(values)], first) * self.down[first])
+
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
-def _word_cache() -> Cache:
-    return Cache(lambda w: xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass")))
 
+def _sizes(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(first, append=n)
 
-def units(text: str, cache: Cache) -> tuple[np.ndarray, ...]:
-    """(digest, first word, words, line) of the units of a text.
 
-    Digests are polynomial hashes of the word hashes, read off prefix sums; arithmetic is modulo 2^64.
+def words(text: str, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(hash of the lower-cased word, start, end, line) of the words of a text, offsets in code points."""
+    # this letter alone becomes longer in lower case, which would move the offsets
+    low = text.replace("\u0130", "i").lower()
+    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.ones(len(code) + 2, bool)
+    np.take(SPACE, code, mode="clip", out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    w = np.empty(len(start), np.uint64)
+    blocks = np.searchsorted(start, np.arange(0, len(code), BLOCK)) if len(code) > BLOCK else [0]
+    for i, j in zip(blocks, [*blocks[1:], len(start)]):
+        if i < j:
+            at, to = start[i], end[j - 1]
+            values = mix(code[at:to] + np.uint64(1))
+            values[space[at + 1:to + 1]] = 0
+            w[i:j] = powers.hashes(values, start[i:j] - at)
+    return w, start, end, np.searchsorted(np.flatnonzero(code == 10), start)
+
+
+def units(text: str, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(digest, start, end, words, line) of the units of a text.
+
+    Digests are hashes of the word hashes.
     """
-    by_line = [line.split() for line in text.split("\n")]
-    sizes = [len(x) for x in by_line]
-    words = list(chain.from_iterable(by_line))
-    n = len(words)
+    w, start, end, row = words(text, powers)
+    n = len(w)
     if not n:
         e = np.empty(0, np.int64)
-        return (e,) * 4
-    w = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    new_line = np.r_[True, row[1:] != row[:-1]]
-    before = np.where(new_line, np.uint64(0), np.r_[np.uint64(0), w[:-1]])
-    cut = new_line | np.r_[False, (mix(w[:-1] * np.uint64(3) + before[:-1]) % CUT == 0)]
+        return (e,) * 5
+    cut = np.ones(n, bool)
+    np.not_equal(row[1:], row[:-1], out=cut[1:])
+    before = np.zeros(n, np.uint64)
+    before[1:] = w[:-1]
+    before[cut] = 0
+    cut[1:] |= mix(w[:-1] * np.uint64(3) + before[:-1]) % CUT == 0
     first = np.flatnonzero(cut)
-    last = np.r_[first[1:], n]
-    # each word times a power that counts from its unit's start
-    pos = np.arange(n) - np.repeat(first, last - first)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(int(pos.max()), PRIME)])
-    sums = np.add.reduceat(mix(w) * power[pos], first)
-    digest = mix(sums ^ (last - first).astype(np.uint64)).astype(np.int64)
-    return digest, first, last - first, row[first]
-
+    size = _sizes(first, n)
+    return powers.hashes(w, first).astype(np.int64), start[first], end[first + size - 1], size, row[first]
 
-def places(text: str, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each unit in the text."""
-    span = np.array([m.span() for m in TOKEN.finditer(text)]).reshape(-1, 2)
-    return span[first, 0], span[first + n - 1, 1]
 
-
-def line_digests(unit_digest: np.ndarray, unit_line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def line_digests(unit_digest: np.ndarray, unit_line: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """(digest, first unit) of each line, from its units."""
-    first = np.flatnonzero(np.r_[True, unit_line[1:] != unit_line[:-1]]) if len(unit_line) else np.empty(0, np.int64)
+    first = _changes(unit_line)
     if not len(first):
         return np.empty(0, np.int64), first
-    last = np.r_[first[1:], len(unit_line)]
-    pos = np.arange(len(unit_line)) - np.repeat(first, last - first)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(int(pos.max()), PRIME)])
-    sums = np.add.reduceat(unit_digest.astype(np.uint64) * power[pos], first)
-    return mix(sums + np.uint64(77)).astype(np.int64), first
+    return mix(powers.hashes(unit_digest.astype(np.uint64), first) + np.uint64(77)).astype(np.int64), first
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None,
@@ -91,16 +122,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
 
     def digests(cols: dict) -> dict:
         if not cache:
-            cache.append(_word_cache())
-        out: dict[str, list] = {"id": [], "rank": [], "d": []}
-        for i, r, t in zip(cols["id"], cols["rank"], cols["text"]):
-            d, _, _, row = units(t or "", cache[0])
-            ld, _ = line_digests(d, row)
-            every = np.unique(np.r_[d, ld])
-            out["id"] += [i] * len(every)
-            out["rank"] += [r] * len(every)
-            out["d"] += every.tolist()
-        return out
+            cache.append(Powers())
+        every, ids = [], []
+        for i, t in zip(cols["id"], cols["text"]):
+            d, *_, row = units(t or "", cache[0])
+            ld, _ = line_digests(d, row, cache[0])
+            every.append(np.unique(np.concatenate((d, ld))))
+            ids += [i] * len(every[-1])
+        return {"id": ids, "rank": np.repeat(cols["rank"], [len(x) for x in every]), "d": np.concatenate(every)}
 
     held = in_batches(base, digests, "id long, rank long, d long")
     ident = F.coalesce("id", F.lit(2**63 - 1))
@@ -116,12 +145,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
 
     def remove(cols: dict) -> dict:
         if not cache:
-            cache.append(_word_cache())
+            cache.append(Powers())
         out: dict[str, list] = {c: [] for c in ("id", "text", "n_units", "n_removed", "removed")}
         for i, t, gone in zip(cols["id"], cols["text"], cols["gone"]):
-            d, first, n, row = units(t or "", cache[0])
-            mask = _repeats(d, n, row, np.array(gone or [], np.int64), min_words)
-            cuts = _cuts(t, mask, row, *places(t, first, n)) if mask.any() else []
+            d, start, end, n, row = units(t or "", cache[0])
+            mask = _repeats(d, n, row, np.sort(np.array(gone or [], np.int64)), min_words, cache[0])
+            cuts = _cuts(t, mask, row, start, end) if mask.any() else []
             kept, at = [], 0
             for s, e in cuts:
                 kept.append(t[at:s])
@@ -138,23 +167,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
     return got.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_units", "n_removed", "removed")
 
 
-def _repeats(d: np.ndarray, n: np.ndarray, row: np.ndarray, gone: np.ndarray, min_words: int) -> np.ndarray:
-    """Which units go: those of lines seen before, in this text or an earlier one, and long runs of such units."""
+def _repeats(d: np.ndarray, n: np.ndarray, row: np.ndarray, gone: np.ndarray, min_words: int,
+             powers: Powers) -> np.ndarray:
+    """Which units go: those of lines seen before, in this text or an earlier one, and long runs of such units.
+
+    ``gone`` is sorted.
+    """
     if not len(d):
         return np.zeros(0, bool)
 
-    def again(x: np.ndarray) -> np.ndarray:
-        _, first, inverse = np.unique(x, return_index=True, return_inverse=True)
-        return (first[inverse] != np.arange(len(x))) | np.isin(x, gone)
+    def seen(x: np.ndarray) -> np.ndarray:
+        return gone[np.searchsorted(gone, x).clip(max=len(gone) - 1)] == x if len(gone) else np.zeros(len(x), bool)
 
-    ld, at = line_digests(d, row)
-    whole = np.repeat(again(ld), np.diff(np.r_[at, len(d)]))
+    ld, at = line_digests(d, row, powers)
+    order = np.argsort(ld, kind="stable")
+    again = seen(ld)
+    again[order[1:]] |= ld[order[1:]] == ld[order[:-1]]
+    whole = np.repeat(again, _sizes(at, len(d)))
     # a unit standing twice in one text only counts as repeated there if its line does
-    mask = np.isin(d, gone) | whole
-    edge = np.flatnonzero(np.r_[True, mask[1:] != mask[:-1]])
-    words = np.add.reduceat(n, edge)
-    long = np.repeat(words >= min_words, np.diff(np.r_[edge, len(d)]))
-    return whole | (mask & long)
+    mask = seen(d) | whole
+    if not mask.any():
+        return mask
+    edge = _changes(mask)
+    long = np.add.reduceat(n, edge) >= min_words
+    return whole | (mask & np.repeat(long, _sizes(edge, len(d))))
 
 
 def _cuts(text: str, mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
