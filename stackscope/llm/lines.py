@@ -3,11 +3,13 @@
 A text is cut at line ends, and each line into units at words chosen by content (the hash of a word
 and the one before it), about every fourth word. So a passage pasted into other lines is cut
 at the same words wherever it stands, but for the units at its edges. Units are normalised (lower case, white space
-folded), hashed and grouped over all documents; the occurrence with the smallest (rank, offset) is
-the earliest and stays.
+folded). Lines, and inside a line the shortest runs of consecutive units that have ``min_words`` words (from each unit
+on, and back from each unit), are hashed and grouped over all documents; the document with the smallest (rank, id)
+is the earliest and keeps them.
 
-Removed are, of every occurrence but the earliest: whole lines that occur before, and inside other lines any run of
-repeated units of at least ``min_words`` words. Offsets of the removed spans refer to the original text.
+Removed are, in every later document: whole lines that occur before, and inside other lines the units of runs that
+stand as such, all units in this order and in one line, in one earlier document. A single unit never counts as
+repeated. Offsets of the removed spans refer to the original text.
 """
 
 from __future__ import annotations
@@ -107,6 +109,34 @@ def line_digests(unit_digest: np.ndarray, unit_line: np.ndarray, powers: Powers)
     return mix(powers.hashes(unit_digest.astype(np.uint64), first) + np.uint64(77)).astype(np.int64), first
 
 
+def runs(unit_digest: np.ndarray, size: np.ndarray, unit_line: np.ndarray, min_words: int,
+         powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first unit, unit after the last) of the runs of ``min_words`` words inside lines.
+
+    A longer sequence that two texts share is covered by these: up to its end by the runs that go on from its units,
+    and at its end by the run that goes back from its last unit.
+    """
+    n = len(unit_digest)
+    if not n:
+        return (np.empty(0, np.int64),) * 3
+    line = _changes(unit_line)
+    units_of = _sizes(line, n)
+    begin, stop = np.repeat(line, units_of), np.repeat(line + units_of, units_of)
+    at, words_to = np.arange(n), np.r_[0, np.cumsum(size)]
+    to = np.searchsorted(words_to, words_to[:-1] + min_words)
+    back = np.searchsorted(words_to, words_to[1:] - min_words, side="right") - 1
+    on = to <= stop
+    # most runs that go back are also runs that go on
+    off = back >= begin
+    off[off] &= to[back[off]] != at[off] + 1
+    first, end = np.r_[at[on], back[off]], np.r_[to[on], at[off] + 1]
+    if n > len(powers.up):
+        powers.grow(max(n, 2 * len(powers.up)))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(unit_digest.astype(np.uint64) * powers.up[:n], out=sums[1:])
+    return mix(mix((sums[end] - sums[first]) * powers.down[first]) + np.uint64(191)).astype(np.int64), first, end
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None,
           min_words: int = 16) -> DataFrame:
     """One row per input row: id, text (what is left), n_units, n_removed, removed (array of start, end).
@@ -118,29 +148,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
     rank = F.col(rank_col) if rank_col else F.col(id_col)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.coalesce(rank.cast("long"), F.lit(2**63 - 1)).alias("rank"))
+    # without a rank column the rank alone is a document's place, which halves what is shuffled
+    place = ["rank", "id"] if rank_col else ["rank"]
     cache: list = []
 
     def digests(cols: dict) -> dict:
         if not cache:
             cache.append(Powers())
-        every, ids = [], []
-        for i, t in zip(cols["id"], cols["text"]):
-            d, *_, row = units(t or "", cache[0])
-            ld, _ = line_digests(d, row, cache[0])
-            every.append(np.unique(np.concatenate((d, ld))))
-            ids += [i] * len(every[-1])
-        return {"id": ids, "rank": np.repeat(cols["rank"], [len(x) for x in every]), "d": np.concatenate(every)}
-
-    held = in_batches(base, digests, "id long, rank long, d long")
-    ident = F.coalesce("id", F.lit(2**63 - 1))
-    held = store(held)
-    seen = store(held.groupBy("d").agg(F.min(F.struct("rank", ident.alias("id"))).alias("first"),
-                                       F.max(F.struct("rank", ident.alias("id"))).alias("final"))
+        every = []
+        for t in cols["text"]:
+            d, _, _, n, row = units(t or "", cache[0])
+            every.append(np.unique(np.concatenate((line_digests(d, row, cache[0])[0],
+                                                   runs(d, n, row, min_words, cache[0])[0]))))
+        times = [len(x) for x in every]
+        return {"id": np.repeat(np.array(cols["id"], object), times) if rank_col else [],
+                "rank": np.repeat(np.array(cols["rank"], np.int64), times), "d": np.concatenate(every)}
+
+    held = store(in_batches(base, digests, "".join(f"{c} long, " for c in reversed(place)) + "d long"))
+    where = (F.struct("rank", F.coalesce("id", F.lit(2**63 - 1)).alias("id")) if rank_col else F.col("rank"))
+    seen = store(held.groupBy("d").agg(F.min(where).alias("first"), F.max(where).alias("final"))
                  .where("first <> final").select("d", "first"))
-    later = (held.join(seen, "d").where(~((F.col("first.rank") == F.col("rank")) & (F.col("first.id") == ident)))
-             .select("id", "rank", "d"))
-    per_doc = later.groupBy("id", "rank").agg(F.collect_set("d").alias("gone"))  # one document's own units
-    joined = base.join(per_doc, base.id.eqNullSafe(per_doc.id) & (base["rank"] == per_doc["rank"]), "left").select(
+    later = held.join(seen, "d").where(F.col("first") != where).select(*place, "d")
+    per_doc = later.groupBy(*place).agg(F.collect_set("d").alias("gone"))  # one document's own lines and runs
+    same = base["rank"] == per_doc["rank"]
+    joined = base.join(per_doc, base.id.eqNullSafe(per_doc.id) & same if rank_col else same, "left").select(
         base.id, "text", "gone")
 
     def remove(cols: dict) -> dict:
@@ -169,7 +200,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
 
 def _repeats(d: np.ndarray, n: np.ndarray, row: np.ndarray, gone: np.ndarray, min_words: int,
              powers: Powers) -> np.ndarray:
-    """Which units go: those of lines seen before, in this text or an earlier one, and long runs of such units.
+    """Which units go: those of lines seen before, in this text or an earlier one, and of runs seen in an earlier one.
 
     ``gone`` is sorted.
     """
@@ -183,14 +214,13 @@ def _repeats(d: np.ndarray, n: np.ndarray, row: np.ndarray, gone: np.ndarray, mi
     order = np.argsort(ld, kind="stable")
     again = seen(ld)
     again[order[1:]] |= ld[order[1:]] == ld[order[:-1]]
-    whole = np.repeat(again, _sizes(at, len(d)))
-    # a unit standing twice in one text only counts as repeated there if its line does
-    mask = seen(d) | whole
-    if not mask.any():
-        return mask
-    edge = _changes(mask)
-    long = np.add.reduceat(n, edge) >= min_words
-    return whole | (mask & np.repeat(long, _sizes(edge, len(d))))
+    mask = np.repeat(again, _sizes(at, len(d)))
+    if len(gone):
+        digest, first, end = runs(d, n, row, min_words, powers)
+        hit = seen(digest)
+        depth = np.bincount(first[hit], minlength=len(d) + 1) - np.bincount(end[hit], minlength=len(d) + 1)
+        mask |= np.cumsum(depth)[:-1] > 0
+    return mask
 
 
 def _cuts(text: str, mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:

@@ -357,6 +357,34 @@ def test_line_dedup_finds_passages_inside_lines(spark):
         assert k == 1 and set(passage) <= left or k != 1 and len(left & set(passage)) < 20
 
 
+def test_line_dedup_keeps_what_repeats_only_in_pieces(spark):
+    """Units met before in other places, here common phrases of few words, make no repeated passage together."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(f"v{int(x)}" for x in rng.integers(0, 12, 400))) for k in range(60)]
+    # whole repeated lines beside a line with one unit seen before lend it no words
+    shared = "\n".join(" ".join(f"s{j}x{i}" for i in range(20)) for j in range(2))
+    rows += [(100, f"alpha\n{shared}"), (101, f"{shared}\nalpha beta"), (102, f"gamma\n{shared}\nalpha delta")]
+    powers = lines.Powers()
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    earlier = set()
+    for k, t in rows[:60]:
+        w = t.split()
+        runs = {tuple(w[i:i + 16]) for i in range(len(w) - 15)}
+        if not runs & earlier:
+            assert got[k].text == t
+        earlier |= runs
+    assert got[101].text == "alpha beta" and got[102].text == "gamma\nalpha delta"
+    # every sequence of units with 16 words inside a line is covered by the runs
+    d, _, _, n, row = lines.units(" ".join(f"y{i}" for i in range(300)) + "\n" + "z z z", powers)
+    _, first, end = lines.runs(d, n, row, 16, powers)
+    made = set(zip(first.tolist(), end.tolist()))
+    assert len(made) == len(first) and all(row[a] == row[b - 1] and n[a:b].sum() >= 16 for a, b in made)
+    for a in range(len(d)):
+        for b in range(a + 1, len(d) + 1):
+            if row[a] == row[b - 1] and n[a:b].sum() >= 16:
+                assert set(range(a, b)) == {u for x, y in made if a <= x and y <= b for u in range(x, y)}
+
+
 def brute_secrets(text):
     out = []
     for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
