@@ -224,6 +224,18 @@ def test_main_text(spark):
         assert got[i].text == " ".join(p for p in plain if p)
 
 
+def test_main_text_counts_over_the_whole_host(spark):
+    """A note on a few of many pages goes however pages are sliced, dealt out and ordered."""
+    note = "this closing note stands on some few pages of the large host only"
+    pages = [(k, "http://large.example/x", f"<div>text {k} has words of its own {k}a {k}b {k}c</div>"
+              + (f"<div>{note}</div>" if k % 20 == 0 else "")) for k in range(100)]
+    pages += [(200 + k, "http://other.example/x", f"<div>page {k}</div><div>{note}</div>") for k in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {k: f"text {k} has words of its own {k}a {k}b {k}c" for k in range(100)} | {200 + k: f"page {k} {note}" for k in range(2)}
+    for dealt in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("page_id"))):
+        assert {r.page_id: r.text for r in html.extract(dealt, group=8).collect()} == want
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(5)
     streams = [rng.integers(0, 3, 40).astype(np.uint64) for _ in range(5)]
