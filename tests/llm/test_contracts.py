@@ -236,6 +236,23 @@ def test_main_text_counts_over_the_whole_host(spark):
         assert {r.page_id: r.text for r in html.extract(dealt, group=8).collect()} == want
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<body class='has-sidebar'><p>all of it</p></body>", "all of it"),
+    ("<article class='post sidebar-right'>text</article>", "text"),
+    ("<article><h1 class='entry-header'>Heading</h1>text</article>", "Heading text"),
+    ("<p class='navy'>blue</p><div class='no-sidebar'>wide</div>", "blue wide"),
+    ("<p>to <a href='/hidden-lakes'>lakes</a> <a href=/hidden>and</a> <a title='the hidden cost'>cost</a></p>", "to lakes and cost"),
+    ("<p data-hidden='false' data-class=\"menu\">p</p>", "p"), ("<p title='a > b' class=menu>no</p>yes", "yes"),
+    ("<p hidden>no</p><p title='x'hidden>no</p><p aria-hidden=true>no</p>yes", "yes"),
+    ("<div class='page-banner'>no<article>yes</article>no</div>", "yes"),
+    ("<div class='menu'><nav><article>no</article></nav></div>yes", "yes"),
+    ("<article>yes<div id=comments>no<article>no</article></div></article>", "yes"),
+    ("<article>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> then</article>", "if x=2 then"),
+])
+def test_chrome_names(source, want):
+    assert " ".join(t for role, t in html.blocks(source) if role != html.IS_CHROME) == want
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(5)
     streams = [rng.integers(0, 3, 40).astype(np.uint64) for _ in range(5)]
