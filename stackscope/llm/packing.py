@@ -42,7 +42,8 @@ class Encoder:
     """Ids of whole texts by a byte-level vocabulary file of the tokenizers library, in its own ids.
 
     The vocabulary is read as ranks, which a faster encoder of the same method takes (the ids are the same; the
-    tests compare them). A text is cut before its spaces, each distinct part is encoded once, and the
+    tests compare them). The file's added tokens are cut out of a text first, as the library does, and have their own ids. Between
+    them a text is cut before its spaces, each distinct part is encoded once, and the
     parts' ids are gathered. The byte-level split never joins a part with the space after it unless white space stands
     next to that space; such texts are encoded in one go.
     """
@@ -53,15 +54,28 @@ class Encoder:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        added = {x["content"]: x for x in file.get("added_tokens") or ()}
+        odd = [c for c, x in added.items() if x["single_word"] or x["lstrip"] or x["rstrip"]]
+        if odd:
+            raise ValueError(f"added tokens with rules of their own: {odd}")
+        self.added = {c: np.array([x["id"]], "<u4").tobytes() for c, x in added.items()}
+        # the longest of those that begin at one place
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # printable bytes stand for themselves, the others for the characters from 256 on, in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain}
         byte_of |= {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        ranks = {bytes(byte_of[c] for c in word): k for word, k in vocab.items() if word != "<|endoftext|>"}
+        ranks = {bytes(byte_of[c] for c in word): k for word, k in file["model"]["vocab"].items() if word not in added}
         self.model = tiktoken.Encoding("packing", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.known = Cache(self.bytes, limit=500_000)
 
+    def whole(self, text: str) -> bytes:
+        """Ids of a text that may hold added tokens."""
+        if self.apart is None:
+            return self.bytes(text)
+        return b"".join(self.added.get(x) or self.bytes(x) for x in self.apart.split(text) if x)
+
     def bytes(self, text: str) -> bytes:
         return np.array(self.model.encode_ordinary(text), "<u4").tobytes() if len(text) > 99 else array(
             "I", self.model.encode_ordinary(text)).tobytes()
@@ -70,8 +84,8 @@ class Encoder:
         out: list = [None] * len(texts)
         plain = []
         for k, t in enumerate(texts):
-            if t and (self.MARK in t or JOINED.search(t)):
-                out[k] = np.append(np.frombuffer(self.bytes(t), "<u4"), np.uint32(end))
+            if t and (self.MARK in t or JOINED.search(t) or self.apart and self.apart.search(t)):
+                out[k] = np.append(np.frombuffer(self.whole(t), "<u4"), np.uint32(end))
             else:
                 plain.append(k)
         if not plain:

@@ -303,6 +303,22 @@ def test_packing(spark, docs, texts, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    """A literal added token in a text has its own id, as in the library with its settings as they are."""
+    from tokenizers import Tokenizer
+    path = catalog.vocabulary()
+    tok = Tokenizer.from_file(path)
+    given = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "a  <|endoftext|>  b\n\n<|endoftext|>\n c", "<|endoftext|", "plain text, as it is.",
+             "a <|ENDOFTEXT|> b", "don<|endoftext|>'t", "\x02 a<|endoftext|> é  b."]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), path, with_ids=True).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.start):
+        got[r.doc_id] += r.ids
+    assert got == {k: tok.encode(t, add_special_tokens=False).ids + [1] for k, t in enumerate(given)}
+    assert got[0] == [64, 220, 50256, 275, 1]
+    assert all(r.doc_tokens == len(got[r.doc_id]) for r in rows)
+
+
 def test_fill_is_the_best_subset_sum():
     rng = np.random.default_rng(2)
     for _ in range(60):
