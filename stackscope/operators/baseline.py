@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stackscope.knowledge import THREAD_STATES
 from stackscope.operators import series as S
-from stackscope.operators.single import stack_groups
+from stackscope.operators.single import recurring_stacks
 
 TYPE_TAG = "stackscope-baseline"
 PARTS = ("header", "state", "pool", "stack")
@@ -23,9 +23,9 @@ class Baseline:
     stack: DataFrame
 
 
-def build(t: DataFrame, dump: DataFrame, top_stacks: int = 15) -> Baseline:
+def build(t: DataFrame, dump: DataFrame) -> Baseline:
     return Baseline(S.baseline_header(t, dump), S.baseline_state(t), S.baseline_pool(t, dump),
-                    S.baseline_stack(t, top_stacks))
+                    S.baseline_stack(t))
 
 
 def save(b: Baseline, path: str) -> None:
@@ -70,9 +70,9 @@ def pool_deltas(incident: DataFrame, baseline: DataFrame) -> DataFrame:
     return j.withColumn("rank", F.row_number().over(w))
 
 
-def new_recurring_stacks(t: DataFrame, baseline_stack: DataFrame, top_stacks: int = 15) -> DataFrame:
-    """Recurring stacks the baseline never showed."""
-    g = stack_groups(t, top_stacks, 12)
+def new_recurring_stacks(t: DataFrame, baseline_stack: DataFrame) -> DataFrame:
+    """All recurring stacks the baseline never showed; twelve frames of each are shown."""
+    g = recurring_stacks(t, 12)
     return g.join(baseline_stack.select("series_id", "stack_hash").distinct(),
                   ["series_id", "stack_hash"], "left_anti") \
         .groupBy("series_id", "stack_hash").agg(

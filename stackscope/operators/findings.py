@@ -92,6 +92,13 @@ def deadlock(ctx: Context) -> DataFrame:
         dump=F.col("dump_idx"), threads=F.to_json("threads"), source=F.col("source"))
 
 
+def marked_threads(t: DataFrame) -> DataFrame:
+    """Every thread name that the server marked, with the dumps it is in; findings show the first 100."""
+    return t.filter(is_stuck_marked(F.col("name"))).groupBy("series_id", "name").agg(
+        F.when(F.col("name").contains("[STUCK]"), "weblogic-stuck").otherwise("weblogic-hogging").alias("id"),
+        F.count("*").alias("n"))
+
+
 def _marked(ctx: Context, cond, id_, severity, label) -> DataFrame:
     names = ctx.thread.filter(cond).groupBy("series_id", "name").agg(
         F.count("*").alias("n"), F.min(F.struct("dump_idx", "thread_ord")).alias("_first"))

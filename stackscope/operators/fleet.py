@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stackscope.knowledge import THREAD_STATES
 from stackscope.operators.derive import java_threads
 from stackscope.operators.series import dump_count, node_pool_busy
-from stackscope.operators.single import count_if, stack_groups
+from stackscope.operators.single import count_if, recurring_stacks, stack_groups
 
 STATE_DIVERGENCE_PP = 20.0
 POOL_DIVERGENCE_PP = 30.0
@@ -26,7 +26,7 @@ def node_states(t: DataFrame) -> DataFrame:
 
 
 def node_stacks(t: DataFrame, top_stacks: int = 15) -> DataFrame:
-    """Recurring stacks of a node with their largest count over its dumps."""
+    """Stacks among the largest of some dump of a node, with their largest count over its dumps."""
     return stack_groups(t, top_stacks).groupBy("series_id", "stack_hash").agg(
         F.max("n").alias("n"), F.min_by("stack", F.struct("dump_idx", "rank")).alias("stack"),
         F.min(F.struct("dump_idx", "rank")).alias("_first"))
@@ -64,9 +64,10 @@ def state_outliers(t: DataFrame) -> DataFrame:
         F.abs(F.col("percent") - F.col("median")) > STATE_DIVERGENCE_PP).drop("_nodes")
 
 
-def unique_stack_outliers(t: DataFrame, top_stacks: int = 15) -> DataFrame:
-    """Stacks shared by at least five threads on one node and seen on no other."""
-    stacks = node_stacks(t, top_stacks)
+def unique_stack_outliers(t: DataFrame) -> DataFrame:
+    """Stacks shared by at least five threads on one node and recurring on no other, however small there."""
+    stacks = recurring_stacks(t).groupBy("series_id", "stack_hash").agg(
+        F.max("n").alias("n"), F.min_by("stack", "dump_idx").alias("stack"))
     seen = stacks.groupBy("stack_hash").agg(F.count("*").alias("_nodes"), F.min("series_id").alias("_node"))
     nodes = java_threads(t).agg(F.count_distinct("series_id")).scalar()
     own = stacks.join(seen.filter("_nodes = 1"), "stack_hash").filter(F.col("n") >= UNIQUE_STACK_MIN_COUNT)
@@ -85,7 +86,7 @@ def pool_outliers(t: DataFrame) -> DataFrame:
         F.abs(F.col("busy_pct") - F.col("median")) > POOL_DIVERGENCE_PP).drop("_nodes")
 
 
-def outliers(t: DataFrame, top_stacks: int = 15) -> DataFrame:
+def outliers(t: DataFrame) -> DataFrame:
     """(node, kind, explanation) of every outlier."""
     def pct(c):
         return F.concat(F.round(c).cast("long").cast("string"), F.lit("%"))
@@ -95,7 +96,7 @@ def outliers(t: DataFrame, top_stacks: int = 15) -> DataFrame:
     return row(state_outliers(t), "state-distribution", F.concat(
         head, pct("percent"), F.lit(" of threads "), F.col("state"), F.lit(" (fleet median: "),
         pct("median"), F.lit(")"))).unionByName(
-        row(unique_stack_outliers(t, top_stacks), "unique-stack", F.concat(
+        row(unique_stack_outliers(t), "unique-stack", F.concat(
             head, F.col("n").cast("string"), F.lit(" threads share a stack in "), F.col("where"),
             F.lit(" that no other node shows (fleet median: 0)")))).unionByName(
         row(pool_outliers(t), "pool-utilization", F.concat(

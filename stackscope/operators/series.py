@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stackscope.functions.names import is_stuck_marked
 from stackscope.operators.derive import java_threads
 from stackscope.operators.locks import lock_holders, lock_wait
-from stackscope.operators.single import pool_stats, stack_groups
+from stackscope.operators.single import pool_stats, recurring_stacks
 
 DUMP = ["series_id", "dump_idx"]
 OCC = ["series_id", "key"]
@@ -252,8 +252,9 @@ def baseline_pool(t: DataFrame, dump: DataFrame) -> DataFrame:
         "series_id", "pool", F.round(F.col("_n") / F.col("n_dumps"), 2).alias("avg"))
 
 
-def baseline_stack(t: DataFrame, top_n: int = 15) -> DataFrame:
-    return stack_groups(t, top_n, 1).select("series_id", "stack_hash").distinct()
+def baseline_stack(t: DataFrame) -> DataFrame:
+    """Every recurring stack: one left out would be reported as new later."""
+    return recurring_stacks(t, 1).select("series_id", "stack_hash").distinct()
 
 
 def node_pool_busy(t: DataFrame) -> DataFrame:

@@ -48,21 +48,25 @@ def category_breakdown(t: DataFrame) -> DataFrame:
         .groupBy(*DUMP, "category").agg(F.count("*").alias("n"))
 
 
-def stack_groups(t: DataFrame, top_n: int = 15, max_frames: int = 40) -> DataFrame:
-    """Stacks shared by at least two threads of a dump, biggest first.
+def recurring_stacks(t: DataFrame, max_frames: int = 40) -> DataFrame:
+    """All stacks shared by at least two threads of a dump; ``max_frames`` of each are shown.
 
     Partial counts are built before the shuffle, so one stack shared by most
     threads costs no more than any other.
     """
     first = F.struct("thread_ord", "name")
-    g = java_threads(t).filter(F.col("stack_hash").isNotNull()).groupBy(*DUMP, "stack_hash").agg(
+    return java_threads(t).filter(F.col("stack_hash").isNotNull()).groupBy(*DUMP, "stack_hash").agg(
         F.count("*").alias("n"),
         F.min("thread_ord").alias("first_ord"),
         F.min_by(F.slice(F.transform("frames", lambda f: f["raw"]), 1, max_frames), first).alias("stack"),
         *[count_if(F.col("state") == s).alias(s.lower()) for s in THREAD_STATES],
     ).filter("n >= 2")
+
+
+def stack_groups(t: DataFrame, top_n: int = 15, max_frames: int = 40) -> DataFrame:
+    """The largest stacks shared by at least two threads of a dump, biggest first, for display."""
     w = Window.partitionBy(*DUMP).orderBy(F.desc("n"), "first_ord", "stack_hash")
-    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    return recurring_stacks(t, max_frames).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
 
 
 def stack_group_members(t: DataFrame, limit: int = 25) -> DataFrame:

@@ -12,7 +12,7 @@ from stackscope.knowledge import BUNDLED_RULES, FRAME_MEANINGS, IDLE_PATTERNS
 from stackscope.operators import baseline as B
 from stackscope.operators import fleet, locks, middleware, quality, series, single, stuck
 from stackscope.operators.derive import derive
-from stackscope.operators.findings import Context, rank_findings, run_detectors
+from stackscope.operators.findings import Context, marked_threads, rank_findings, run_detectors
 from stackscope.operators.pauses import reattribute_to_pauses
 from stackscope.options import Options
 from stackscope.session import cut, store
@@ -114,26 +114,27 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
         "all_timelines": lambda: series.all_timelines(occ),
         "pool_utilization": lambda: single.pool_utilization(thread),
         "quality": lambda: quality.quality_notes(dump, occ, t.parse_issue),
+        "marked_threads": lambda: marked_threads(thread),
         "middleware": lambda: platform,
         "middleware_panel": lambda: middleware.middleware_panel(thread, platform),
         "nodes": lambda: fleet.node_summary(thread, dump, findings),
-        "outliers": lambda: fleet.outliers(thread, options.top_stacks),
+        "outliers": lambda: fleet.outliers(thread),
         "findings": lambda: findings,
     }
     if baseline is not None:
-        now = B.build(thread, dump, options.top_stacks)
+        now = B.build(thread, dump)
         out["state_shifts"] = lambda: B.state_shifts(now.state, baseline.state)
         out["pool_deltas"] = lambda: B.pool_deltas(now.pool, baseline.pool)
-        out["new_stacks"] = lambda: B.new_recurring_stacks(thread, baseline.stack, options.top_stacks)
+        out["new_stacks"] = lambda: B.new_recurring_stacks(thread, baseline.stack)
     return Analysis(ctx, findings, ResultTables(out))
 
 
 def release_drift(t: Tables, baseline: B.Baseline, options: Options = Options()) -> dict[str, DataFrame]:
     """What differs from a stored baseline; nothing is recorded."""
     thread = derive(t.thread, options)
-    now = B.build(thread, t.dump, options.top_stacks)
+    now = B.build(thread, t.dump)
     return {
         "state_shifts": B.state_shifts(now.state, baseline.state),
         "pool_deltas": B.pool_deltas(now.pool, baseline.pool),
-        "new_stacks": B.new_recurring_stacks(thread, baseline.stack, options.top_stacks),
+        "new_stacks": B.new_recurring_stacks(thread, baseline.stack),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,6 @@ from stackscope.sources.tables import Tables, conform
 
 MIN_SLICE_MS = 100
 MAX_SLICES = 300
-MAX_FRAMES = 40
 #: finest buckets per chunk of a running value
 CHUNK = 1 << 20
 
@@ -30,18 +29,18 @@ def slice_width(exec_sample: DataFrame, slice_ms: int, max_slices: int = MAX_SLI
     fine = exec_sample.withColumn("_b", F.floor(ms / base).cast("long"))
     buckets = fine.select("series_id", "_b").distinct().withColumn("_chunk", F.floor(F.col("_b") / CHUNK))
     # doubled d times, a bucket is new unless it equals the one before it there, that is
-    # unless the two differ only in their d lowest bits
+    # unless the two differ only in their d lowest bits; so the highest differing bit decides (64: always new)
     step = running(buckets, ["series_id"], "_chunk", ["_b"], prev={"_p": F.col("_b")})
-    differ = F.when(F.col("_p").isNotNull(), F.col("_b").bitwiseXOR(F.col("_p")))
-    counted = step.groupBy("series_id").agg(*[
-        F.count(F.when(differ.isNull() | (differ >= (1 << d)), 1)).alias(f"n{d}") for d in range(0, 25)])
-    width = None
-    for d in range(0, 25):
-        cond = F.col(f"n{d}") <= max_slices
-        value = F.lit(base * (1 << d)).cast("long")
-        width = F.when(cond, value) if width is None else width.when(cond, value)
-    return counted.select("series_id", width.otherwise(
-        F.lit(base * (1 << 25)).cast("long")).alias("slice_ms"))
+    bits = F.when(F.col("_p").isNull(), 64).otherwise(F.length(F.bin(F.col("_b").bitwiseXOR(F.col("_p")))))
+    counted = step.groupBy("series_id", bits.alias("_bits")).agg(F.count("*").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(Window.partitionBy("series_id").orderBy(F.desc("_bits"))
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.col("_bits") < 64
+    return counted.withColumn("_above", above).groupBy("series_id").agg(
+        F.when(F.sum("_n") <= max_slices, 0).otherwise(F.coalesce(
+            F.min(F.when(below & (F.col("_above") <= max_slices), F.col("_bits"))),
+            F.max(F.when(below, F.col("_bits"))), F.lit(0))).alias("_d")).select(
+        "series_id", F.expr(f"shiftleft({base}L, _d)").alias("slice_ms"))
 
 
 def slice_samples(exec_sample: DataFrame, slice_ms: int = 1000,
@@ -60,7 +59,7 @@ def slice_samples(exec_sample: DataFrame, slice_ms: int = 1000,
             "series_id", F.timestamp_millis("bucket").alias("ts"), "bucket", "slice_ms"),
         ["bucket"])
     frames = F.filter(F.transform(
-        F.slice(F.coalesce("s.frames", F.array().cast("array<string>")), 1, MAX_FRAMES),
+        F.coalesce("s.frames", F.array().cast("array<string>")),
         lambda f: parse_frame(F.concat(F.lit("\tat "), f))), lambda f: f.isNotNull())
     os_tid = F.col("s.os_tid")
     thread = latest.join(dump.select("series_id", "bucket", "dump_idx"), ["series_id", "bucket"]).select(

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from stackscope import Options
 from stackscope.knowledge import RuleEntry
-from stackscope.operators import baseline as B
-from stackscope.operators import export, fleet, history, locks, quality, series, single, stuck
+from stackscope.operators import findings, baseline as B
+from stackscope.operators import findings, export, fleet, history, locks, quality, series, single, stuck
 from stackscope.operators.derive import derive
 from stackscope.operators.findings import DETECTORS, Context, detector, finding, run_detectors
 from stackscope.operators.pauses import pause_covers
@@ -222,6 +222,28 @@ def test_fleet(spark):
     assert any("100% of threads BLOCKED (fleet median: 0%)" in g[2] for g in got)
 
 
+def test_small_recurring_stacks_are_neither_new_nor_unique(spark):
+    """A stack after the 15 largest of a baseline or of another node was still seen there."""
+    def node(name, sizes):
+        stacks = [f"com.shop.{x}.run" for x, n in sizes for _ in range(n)]
+        ts = [thread(f"t{i}", i + 1, frames=(s,)) for i, s in enumerate(stacks)]
+        return line_table(spark, dump("2024-03-01 10:00:00", ts), series=name)
+    many = [(f"S{k}", 3) for k in range(16)] + [("Small", 2)]
+    now = [*many[:16], ("Small", 6), ("Fresh", 2)]
+    before = derive(stored(parse_hotspot(node("n1", many))).thread)
+    d = derive(stored(parse_hotspot(node("n1", now))).thread)
+    new = B.new_recurring_stacks(d, B.build(before, before.select("series_id", "dump_idx").distinct()).stack).collect()
+    assert [r.stack[0].split("(")[0] for r in new] == ["com.shop.Fresh.run"]
+    both = derive(stored(parse_hotspot(node("n1", now).unionByName(node("n2", many)))).thread)
+    assert fleet.unique_stack_outliers(both).count() == 0
+
+
+def test_marked_threads_are_all_listed(spark):
+    ts = [thread(f"[STUCK] ExecuteThread: '{i}' for queue: 'q'", i + 1) for i in range(130)]
+    got = findings.marked_threads(parse(spark, dump("2024-03-01 10:00:00", ts)).thread).collect()
+    assert len({r.name for r in got}) == 130 and {(r.id, r.n) for r in got} == {("weblogic-stuck", 1)}
+
+
 def test_history_and_baseline_files(spark, tmp_path):
     path = str(tmp_path / "h")
     a = spark.createDataFrame([("i1", "2024-03-01 10:00:00", "rel-1", '{"n":1}', "b1"), ("i2", "2024-03-02 10:00:00", "rel-2", "pool", None)],

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from dumps import dump, line_table, thread, write
@@ -227,6 +228,20 @@ def test_slices_widen(spark):
     assert [r.frames[0].method for r in t.thread.orderBy("dump_idx").collect()] == [f"m{i}" for i in range(3, 40, 4)]
 
 
+def test_slices_widen_as_far_as_needed_and_keep_deep_stacks(spark):
+    rows = [("far", i * 3 * 10**7, 7, "t", 50, [f"a.B.m{k}(X.java:1)" for k in range(90)]) for i in range(10)]
+    rows += [("near", i, 7, "t", 50, ["a.B.m(X.java:1)"]) for i in range(3)]
+    df = spark.createDataFrame(rows, "series_id string, sec bigint, thread_id bigint, thread_name string, os_tid bigint, frames array<string>") \
+        .withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    t = slice_samples(df, slice_ms=100, max_slices=3)
+    width = {r.series_id: int(re.search(r"(\d+) ms", r.banner).group(1)) for r in t.dump.collect()}
+    assert width["near"] == 100
+    slices = lambda w: len({i * 3 * 10**10 // w for i in range(10)})
+    assert slices(width["far"]) <= 3 < slices(width["far"] // 2)
+    assert t.dump.filter("series_id = 'far'").count() == slices(width["far"])
+    assert {len(r.frames) for r in t.thread.filter("series_id = 'far'").collect()} == {90}
+
+
 def test_knowledge_merge_and_rule_checks(spark):
     mine = (LabelEntry("socket-accept", "mine", ("x",)), LabelEntry("new", "n", ("y",)))
     merged = kb.idle_patterns(mine)
