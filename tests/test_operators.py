@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from stackscope import Options
 from stackscope.knowledge import RuleEntry
-from stackscope.operators import findings, baseline as B
-from stackscope.operators import findings, export, fleet, history, locks, quality, series, single, stuck
+from stackscope.operators import baseline as B
+from stackscope.operators import export, findings, fleet, history, locks, quality, series, single, stuck
 from stackscope.operators.derive import derive
 from stackscope.operators.findings import DETECTORS, Context, detector, finding, run_detectors
 from stackscope.operators.pauses import pause_covers
