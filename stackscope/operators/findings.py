@@ -85,7 +85,7 @@ def _short(name: Column) -> Column:
 def deadlock(ctx: Context) -> DataFrame:
     return finding(
         ctx.cycles, "deadlock", "CRITICAL", _text("Deadlock of ", F.col("size"), " threads"),
-        _text("Each of ", F.to_json("threads"), " holds a lock another one needs."),
+        _text("Each of these ", F.col("size"), " threads holds a lock that another one of them needs."),
         "Take these locks in one global order or use timed attempts; only a restart frees them now.",
         "high", F.when(F.col("source") == "jvm", "reported by the JVM")
         .otherwise("a closed cycle in the waits-for graph"),
@@ -128,8 +128,8 @@ def weblogic_hogging(ctx: Context) -> DataFrame:
 
 @detector("stuck-thread", 30)
 def stuck_thread(ctx: Context) -> DataFrame:
-    v = ctx.verdicts.join(dump_count(ctx.dump).filter("n_dumps >= 2"), "series_id", "left_semi") \
-        .filter(F.col("kind").isin("NATIVE_WAIT", "SPINNING", "FROZEN", "BLOCKED_CHAIN"))
+    # a run has two dumps or more, also where only its last ones are in this batch
+    v = ctx.verdicts.filter(F.col("kind").isin("NATIVE_WAIT", "SPINNING", "FROZEN", "BLOCKED_CHAIN"))
     native = F.col("kind") == "NATIVE_WAIT"
     title = (F.when(native, _text("Persistent native wait: ", _short(F.col("name"))))
              .when(F.col("kind") == "SPINNING", _text("Spinning thread: ", _short(F.col("name"))))

@@ -170,14 +170,15 @@ def top_blockers(edges: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
 
 def deadlock_members(edges: DataFrame, jvm_cycle: DataFrame | None = None,
                      cycle: DataFrame | None = None) -> DataFrame:
-    """(dump, cycle_id, source, name) of every cycle, reported or found."""
+    """(dump, cycle_id, cycle_no, source, name) of every cycle, reported (by its number there) or found (number 0)."""
     graph = _cycle_ids(_cycle_nodes(cut(edges)) if cycle is None else cycle).select(
-        *DUMP, F.col("cycle_id"), F.lit("wait-for-graph").alias("source"), F.col("node").alias("name"))
+        *DUMP, F.col("cycle_id"), F.lit(0).cast("long").alias("cycle_no"), F.lit("wait-for-graph").alias("source"),
+        F.col("node").alias("name"))
     if jvm_cycle is None:
         return graph
     low = jvm_cycle.groupBy(*DUMP, "cycle_no").agg(F.min("thread_name").alias("cycle_id"))
     told = jvm_cycle.join(low, [*DUMP, "cycle_no"]).select(
-        *DUMP, "cycle_id", F.lit("jvm").alias("source"), F.col("thread_name").alias("name"))
+        *DUMP, "cycle_id", "cycle_no", F.lit("jvm").alias("source"), F.col("thread_name").alias("name"))
     return told.unionByName(graph)
 
 
@@ -188,15 +189,16 @@ def deadlock_cycles(members: DataFrame, names: int = 100) -> DataFrame:
     ``threads`` lists the first names, ``deadlock_members`` has all of them.
     """
     key = [*DUMP]
-    cycles = members.distinct().groupBy(*key, "cycle_id", "source").agg(
+    each = [*key, "cycle_id", "cycle_no", "source"]
+    cycles = members.distinct().groupBy(*each).agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("name")).alias("_digest"))
-    rank = F.when(F.col("source") == "jvm", 0).otherwise(1)
+    rank = F.struct(F.when(F.col("source") == "jvm", 0).otherwise(1), "cycle_no")
     one = cycles.groupBy(*key, "cycle_id", "size", "_digest").agg(
-        F.min_by("source", rank).alias("source"))
-    w = Window.partitionBy(*key, "cycle_id", "source").orderBy("name")
+        F.min_by(F.struct("source", "cycle_no"), rank).alias("_s")).select("*", "_s.*")
+    w = Window.partitionBy(*each).orderBy("name")
     shown = members.distinct().withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= names) \
-        .groupBy(*key, "cycle_id", "source").agg(F.array_sort(F.collect_list("name")).alias("threads"))
-    return one.join(shown, [*key, "cycle_id", "source"]).drop("_digest")
+        .groupBy(*each).agg(F.array_sort(F.collect_list("name")).alias("threads"))
+    return one.join(shown, each).select(*key, "cycle_id", "size", "source", "threads")
 
 
 def blocker_tree(t: DataFrame) -> DataFrame:

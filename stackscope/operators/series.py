@@ -19,10 +19,14 @@ def dump_count(dump: DataFrame) -> DataFrame:
 
 
 def series_index(t: DataFrame) -> DataFrame:
-    """One occurrence per thread key and dump; of duplicate keys the last wins."""
-    cols = [c for c in t.columns if c not in (*DUMP, "key")]
-    return t.groupBy(*DUMP, "key").agg(F.max_by(F.struct(*cols), "thread_ord").alias("_o")) \
-            .select(*DUMP, "key", "_o.*")
+    """One occurrence per thread key and dump; of duplicate keys the last wins.
+
+    Duplicates are found on the key and the ordinal alone; the other columns come back by a join, so a query
+    that uses one number of an occurrence reads no frames.
+    """
+    last = t.groupBy(*DUMP, "key").agg(F.max("thread_ord").alias("thread_ord"))
+    return t.join(last, [*DUMP, "key", "thread_ord"], "left_semi").select(
+        *DUMP, "key", *[c for c in t.columns if c not in (*DUMP, "key")])
 
 
 def key_summary(occ: DataFrame) -> DataFrame:
@@ -40,41 +44,53 @@ def all_timelines(occ: DataFrame) -> DataFrame:
         .join(names, OCC)
 
 
-def stuck_candidates(occ: DataFrame, dump: DataFrame, k: int = 3, max_frames: int = 40) -> DataFrame:
-    """Runs of at least k consecutive dumps with the same fingerprint.
+#: what a run of equal fingerprints carries; runs that touch merge by these columns alone
+RUN = """series_id string, key string, fp string, display_name string, from_dump int, to_dump int, runnable_at int, blocked_at int,
+    cpu_first double, cpu_last double, from_ts timestamp, to_ts timestamp"""
+
+
+def stack_runs(occ: DataFrame, dump: DataFrame) -> DataFrame:
+    """Runs (of one dump or more) of consecutive dumps in which a RUNNABLE or BLOCKED thread kept its fingerprint.
 
-    Only RUNNABLE or BLOCKED threads with frames take part. The window sees one
-    narrow row per dump of a key; wide columns come back by a join on the few runs.
+    The window sees one narrow row per dump of a key.
     """
-    k = max(2, k)
     whole = Window.partitionBy(*OCC).orderBy("dump_idx")
     narrow = occ.select(*DUMP, "key", "fp", "state", "cpu_ms",
                         F.first("norm_name").over(whole).alias("display_name"))
     ok = narrow.filter(F.col("fp").isNotNull() & F.col("state").isin("RUNNABLE", "BLOCKED"))
-    same = Window.partitionBy(*OCC, "fp").orderBy("dump_idx")
-    ok = ok.withColumn("_island", F.col("dump_idx") - F.row_number().over(same))
-    runs = ok.groupBy(*OCC, "fp", "_island").agg(
-        F.first("display_name").alias("display_name"),
-        F.min("dump_idx").alias("from_dump"), F.max("dump_idx").alias("to_dump"),
-        F.count("*").cast("int").alias("run_length"),
-        F.min(F.when(F.col("state") == "RUNNABLE", F.col("dump_idx"))).alias("_runnable_at"),
-        F.min(F.when(F.col("state") == "BLOCKED", F.col("dump_idx"))).alias("_blocked_at"),
-        F.min_by(F.struct("cpu_ms"), "dump_idx")["cpu_ms"].alias("cpu_first"),
-        F.max_by(F.struct("cpu_ms"), "dump_idx")["cpu_ms"].alias("cpu_last"),
-    ).filter(F.col("run_length") >= k)
-    states = (F.when(F.col("_blocked_at").isNull(), F.array(F.lit("RUNNABLE")))
-              .when(F.col("_runnable_at").isNull(), F.array(F.lit("BLOCKED")))
-              .when(F.col("_runnable_at") < F.col("_blocked_at"),
-                    F.array(F.lit("RUNNABLE"), F.lit("BLOCKED")))
+    ok = ok.join(dump.select(*DUMP, "ts"), DUMP)
+    at = F.col("dump_idx")
+    one = ok.select(
+        "series_id", "key", "fp", "display_name", at.alias("from_dump"), at.alias("to_dump"),
+        F.when(F.col("state") == "RUNNABLE", at).alias("runnable_at"), F.when(F.col("state") == "BLOCKED", at).alias("blocked_at"),
+        F.col("cpu_ms").alias("cpu_first"), F.col("cpu_ms").alias("cpu_last"), F.col("ts").alias("from_ts"), F.col("ts").alias("to_ts"))
+    return merge_runs(one)
+
+
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """Runs that touch become one. Merging is associative, so parts of a series can be merged in any order."""
+    same = Window.partitionBy(*OCC, "fp").orderBy("from_dump")
+    begins = F.col("from_dump") != F.coalesce(F.lag("to_dump").over(same), F.lit(-2)) + 1
+    islands = runs.withColumn("_b", begins.cast("int")).withColumn("_island", F.sum("_b").over(same))
+    last = F.struct("cpu_last", "to_ts")
+    first = F.struct("display_name", "cpu_first", "from_ts")
+    return islands.groupBy(*OCC, "fp", "_island").agg(
+        F.min_by(first, "from_dump").alias("_f"), F.max_by(last, "to_dump").alias("_l"),
+        F.min("from_dump").alias("from_dump"), F.max("to_dump").alias("to_dump"),
+        F.min("runnable_at").alias("runnable_at"), F.min("blocked_at").alias("blocked_at")).select(
+        "series_id", "key", "fp", "_f.display_name", "from_dump", "to_dump", "runnable_at", "blocked_at",
+        "_f.cpu_first", "_l.cpu_last", "_f.from_ts", "_l.to_ts")
+
+
+def run_candidates(runs: DataFrame, occ: DataFrame, k: int = 3, max_frames: int = 40) -> DataFrame:
+    """Runs of at least k dumps with what their thread did in the last of them; ``occ`` must hold that dump."""
+    runs = runs.withColumn("run_length", F.col("to_dump") - F.col("from_dump") + 1).filter(F.col("run_length") >= max(2, k))
+    states = (F.when(F.col("blocked_at").isNull(), F.array(F.lit("RUNNABLE")))
+              .when(F.col("runnable_at").isNull(), F.array(F.lit("BLOCKED")))
+              .when(F.col("runnable_at") < F.col("blocked_at"), F.array(F.lit("RUNNABLE"), F.lit("BLOCKED")))
               .otherwise(F.array(F.lit("BLOCKED"), F.lit("RUNNABLE"))))
-    runs = runs.withColumn("states", states).withColumn(
-        "ever_blocked", F.col("_blocked_at").isNotNull())
-    ts = dump.select("series_id", F.col("dump_idx").alias("_i"), "ts")
-    runs = runs.join(ts.select("series_id", F.col("_i").alias("from_dump"), F.col("ts").alias("_t0")),
-                     ["series_id", "from_dump"], "left") \
-               .join(ts.select("series_id", F.col("_i").alias("to_dump"), F.col("ts").alias("_t1")),
-                     ["series_id", "to_dump"], "left")
-    ms = F.unix_millis("_t1") - F.unix_millis("_t0")
+    runs = runs.withColumn("states", states).withColumn("ever_blocked", F.col("blocked_at").isNotNull())
+    ms = F.unix_millis("to_ts") - F.unix_millis("from_ts")
     last = occ.select(
         "series_id", F.col("dump_idx").alias("to_dump"), "key", "tid_hex", "name", "nid_dec", "pool",
         "cls_kind", "cls_label", "frames", "wait_lock",
@@ -84,11 +100,19 @@ def stuck_candidates(occ: DataFrame, dump: DataFrame, k: int = 3, max_frames: in
         "tid_hex", "from_dump", "to_dump", "run_length", "states", "ever_blocked", "fp",
         F.slice(F.transform("frames", lambda f: f["raw"]), 1, max_frames).alias("frozen_frames"),
         "cpu_first", "cpu_last", (F.col("cpu_last") - F.col("cpu_first")).alias("cpu_delta_ms"),
-        F.when(F.col("_t1") > F.col("_t0"), ms / 1000.0).alias("wall_s"),
+        F.when(F.col("to_ts") > F.col("from_ts"), ms / 1000.0).alias("wall_s"),
         F.coalesce("top_native", F.lit(False)).alias("top_native"),
         "nid_dec", "pool", "cls_kind", "cls_label", "frames", "wait_lock")
 
 
+def stuck_candidates(occ: DataFrame, dump: DataFrame, k: int = 3, max_frames: int = 40) -> DataFrame:
+    """Runs of at least k consecutive dumps with the same fingerprint.
+
+    Only RUNNABLE or BLOCKED threads with frames take part. Wide columns come back by a join on the few runs.
+    """
+    return run_candidates(stack_runs(occ, dump), occ, k, max_frames)
+
+
 def persistent_lock_holders(t: DataFrame, min_dumps: int = 2, samples: int = 5) -> DataFrame:
     """Holders of a contended lock over consecutive dumps, by lock class.
 

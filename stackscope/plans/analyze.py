@@ -50,11 +50,12 @@ class Analysis:
 def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | None = None,
             pinned: DataFrame | None = None, baseline: B.Baseline | None = None,
             options: Options = Options(), idle=IDLE_PATTERNS, meanings=FRAME_MEANINGS,
-            rules=BUNDLED_RULES) -> Analysis:
+            rules=BUNDLED_RULES, runs: DataFrame | None = None) -> Analysis:
     """Plan every result of the engine over one or many series.
 
     The parsed tables are written first, so no result goes back to the text, and every result
-    scans only the columns it needs.
+    scans only the columns it needs. ``runs`` are open runs of the same series over earlier dumps
+    (``series.merge_runs``); runs that go on from them are judged at their full length.
     """
     t = replace(t, dump=store(t.dump), jvm_cycle=store(t.jvm_cycle), parse_issue=store(t.parse_issue))
     thread = store(derive(t.thread, options, idle, meanings))
@@ -67,7 +68,9 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
     blockers = cut(locks.top_blockers(edges, on_cycle))
     members = locks.deadlock_members(edges, t.jvm_cycle, on_cycle)
     cycles = locks.deadlock_cycles(members)
-    candidates = series.stuck_candidates(occ, dump, options.stuck_k, options.max_frames_shown)
+    found = series.stack_runs(occ, dump)
+    found = store(found if runs is None else series.merge_runs(found.unionByName(runs)))
+    candidates = series.run_candidates(found, occ, options.stuck_k, options.max_frames_shown)
     verdicts = stuck.classify_stuck(candidates, contended, blockers, os_sample, options.critical_victims)
     raw_genuine = stuck.genuine(verdicts)
     if pauses is not None:
@@ -106,6 +109,7 @@ def analyze(t: Tables, os_sample: DataFrame | None = None, pauses: DataFrame | N
         "deadlocks": lambda: cycles,
         "deadlock_members": lambda: members,
         "blocker_tree": lambda: locks.blocker_tree(thread),
+        "stack_runs": lambda: found,
         "stuck_threads": lambda: stuck.genuine(verdicts).drop("frames"),
         "lock_holders": lambda: holders,
         "pool_trends": lambda: trend,

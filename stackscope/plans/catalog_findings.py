@@ -205,13 +205,13 @@ def _(spark, sf):
 
 @query("finding_pool_sizing", """
 WITH o AS (SELECT o_orderpriority AS series_id, date_trunc('month', o_orderdate) AS day, 'pool-' || CAST(o_custkey % 60 AS VARCHAR) AS pool,
-    o_orderstatus AS st FROM orders WHERE o_custkey % 60 < 20 OR o_orderstatus <> 'O'),
+    CASE WHEN o_custkey % 60 >= 20 AND o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS st FROM orders),
 s AS (SELECT series_id, pool, day, count(*) AS size, count(*) FILTER (st <> 'O') AS busy, count(*) FILTER (st = 'P') AS blocked FROM o GROUP BY ALL),
 u AS (SELECT series_id, pool, 100.0 * sum(busy) / sum(size) AS pct, max(size) AS mx, sum(blocked) AS b FROM s GROUP BY ALL)
 SELECT series_id, 'pool-sizing' AS id, 'INFO' AS severity, pool, CASE WHEN pct >= 90 AND b > 0 THEN 'increase' ELSE 'oversized' END AS advice FROM u
 WHERE (pct >= 90 AND b > 0) OR (pct <= 10 AND mx >= 20)""")
 def _(spark, sf):
-    """Orders as threads: open ones idle, pending ones blocked; open orders of most pools left out."""
+    """Orders as threads: open ones idle, pending ones blocked; in most pools open orders are at work, too."""
     from stackscope.operators.derive import derive
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("thread_ord"), "o_custkey", "o_orderstatus", "o_orderpriority")
     dump, t = order_threads(spark, sf)
@@ -219,9 +219,8 @@ def _(spark, sf):
         ("java.util.TimerThread.mainLoop(T.java:1)", "raw"), ("java.util.TimerThread", "cls"), ("mainLoop", "method"), ("T.java:1", "loc"),
         ("java.util.TimerThread.mainLoop", "sig"))], F.lit(False).alias("native"))
     base = t.drop("cls_kind", "cls_label", "is_vm", "key", "norm_name", "pool", "activity", "category", "stack_hash", "fp", "wait_lock")
-    st = F.col("o_orderstatus")
+    st = F.when((F.col("o_custkey") % 60 >= 20) & (F.col("o_orderstatus") == "O"), "F").otherwise(F.col("o_orderstatus"))
     j = base.join(o.select("thread_ord", "o_custkey", "o_orderstatus"), "thread_ord") \
-        .filter((F.col("o_custkey") % 60 < 20) | (st != "O")) \
         .withColumn("frames", F.when(st == "O", F.array(idle)).otherwise(F.col("frames"))) \
         .withColumn("state", F.when(st == "P", "BLOCKED").otherwise("RUNNABLE"))
     c = _context(spark, sf, False, dump=dump, thread=derive(j))

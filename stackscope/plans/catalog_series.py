@@ -237,7 +237,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, dump
 @query("baseline_build", snap(by_node=True, body="," + _TOP + """
 SELECT series_id, 'state' AS part, state AS item, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY series_id), 2) AS value FROM snap GROUP BY series_id, state
 UNION ALL SELECT series_id, 'pool', pool, round(count(*) / max(n), 2) FROM snap JOIN n_dumps USING (series_id) GROUP BY series_id, pool
-UNION ALL SELECT DISTINCT series_id, 'stack', h, 1.0 FROM top
+UNION ALL SELECT DISTINCT series_id, 'stack', h, 1.0 FROM g
 UNION ALL SELECT series_id, 'avg_threads', '', round(count(*) / max(n), 2) FROM snap JOIN n_dumps USING (series_id) GROUP BY series_id"""))
 def _(spark, sf):
     t, d = snapshot(spark, sf, True)
@@ -282,7 +282,7 @@ def _(spark, sf):
 
 @query("new_recurring_stacks", snap(by_node=True, body="," + _TOP + """
 SELECT series_id, h AS stack_hash, max(n) AS max_count, count(*) AS dumps, min(dump_idx) AS first_dump, arg_min(top_frame, dump_idx) AS top_frame
-FROM top WHERE dump_idx >= 5 AND (series_id, h) NOT IN (SELECT (series_id, h) FROM top WHERE dump_idx < 5) GROUP BY series_id, h"""))
+FROM g WHERE dump_idx >= 5 AND (series_id, h) NOT IN (SELECT (series_id, h) FROM g WHERE dump_idx < 5) GROUP BY series_id, h"""))
 def _(spark, sf):
     _t, d = snapshot(spark, sf, True)
     base = S.baseline_stack(d.filter("dump_idx < 5"))
@@ -359,20 +359,28 @@ def _(spark, sf):
 
 
 def _uneven(d):
-    """Nodes 0 to 2 keep only some of their threads, so that outliers exist."""
-    s = F.col("series_id")
-    return d.filter(~(s.isin("n0") & F.col("state").isin("WAITING", "TIMED_WAITING"))
-                    & ~(s.isin("n1") & (F.col("state") != "WAITING")))
+    """Every thread stays; nodes n0, n1 and n3 show other states, loads and stacks than the rest, so that outliers exist."""
+    node, state = F.col("series_id"), F.col("state")
+    return d.withColumn("stack_hash", F.when((node == "n3") & (state == "BLOCKED"), F.lit("only-n3")).otherwise(F.col("stack_hash"))) \
+        .withColumn("cls_kind", F.when(node == "n0", "APPLICATION").when(node == "n1", "IDLE").otherwise(F.col("cls_kind"))) \
+        .withColumn("state", F.when((node == "n0") & state.isin("WAITING", "TIMED_WAITING"), "RUNNABLE")
+                    .when(node == "n1", "WAITING").otherwise(state))
 
 
 _UNEVEN = """
-, un AS (SELECT * FROM snap WHERE NOT (series_id = 'n0' AND state IN ('WAITING', 'TIMED_WAITING')) AND NOT (series_id = 'n1' AND state <> 'WAITING')),
+, un AS (SELECT * REPLACE (
+  CASE WHEN series_id = 'n3' AND state = 'BLOCKED' THEN 'only-n3' ELSE h END AS h,
+  CASE series_id WHEN 'n0' THEN 'APPLICATION' WHEN 'n1' THEN 'IDLE' ELSE cls END AS cls,
+  CASE WHEN series_id = 'n0' AND state IN ('WAITING', 'TIMED_WAITING') THEN 'RUNNABLE' WHEN series_id = 'n1' THEN 'WAITING' ELSE state END AS state) FROM snap),
 st AS (SELECT unnest(['NEW', 'RUNNABLE', 'BLOCKED', 'WAITING', 'TIMED_WAITING', 'TERMINATED', 'UNKNOWN']) AS state),
 nt AS (SELECT series_id, count(*) AS n FROM un GROUP BY 1),
 sh AS (SELECT nt.series_id, st.state, 100.0 * count(un.u) / max(nt.n) AS pct FROM nt, st LEFT JOIN un ON un.series_id = nt.series_id AND un.state = st.state GROUP BY ALL),
 so AS (SELECT sh.series_id, sh.state, pct, med FROM sh JOIN (SELECT state, median(pct) AS med FROM sh GROUP BY 1) USING (state) WHERE abs(pct - med) > 20),
 pb AS (SELECT series_id, pool, 100.0 * count(*) FILTER (cls = 'APPLICATION') / count(*) AS busy FROM un GROUP BY ALL),
-po AS (SELECT pb.*, med FROM pb JOIN (SELECT pool, median(busy) AS med FROM pb GROUP BY 1 HAVING count(*) >= 2) USING (pool) WHERE abs(busy - med) > 30)
+po AS (SELECT pb.*, med FROM pb JOIN (SELECT pool, median(busy) AS med FROM pb GROUP BY 1 HAVING count(*) >= 2) USING (pool) WHERE abs(busy - med) > 30),
+ug AS (SELECT series_id, dump_idx, h, count(*) AS n, arg_min(split_part(r0, '(', 1), u) AS w FROM un GROUP BY ALL HAVING count(*) >= 2),
+uk AS (SELECT series_id, h, max(n) AS n, arg_min(w, dump_idx) AS w FROM ug GROUP BY ALL),
+us AS (SELECT series_id, h, n, w FROM uk WHERE n >= 5 AND h IN (SELECT h FROM uk GROUP BY h HAVING count(*) = 1))
 """
 
 
@@ -404,10 +412,9 @@ def document_nodes(spark, sf):
 
 @query("unique_stack_outliers", """
 WITH g AS (SELECT lang AS series_id, md5(text) AS stack_hash, count(*) AS n, min(doc_id) AS f, arg_min(split_part(text, chr(10), 1), doc_id) AS w
-  FROM documents GROUP BY ALL HAVING count(*) >= 2),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY n DESC, f, stack_hash) AS r FROM g) WHERE r <= 15)
-SELECT series_id, stack_hash, n, regexp_replace(w, '\\(.*', '') AS "where" FROM t WHERE n >= 5
-  AND stack_hash IN (SELECT stack_hash FROM t GROUP BY 1 HAVING count(*) = 1)""")
+  FROM documents GROUP BY ALL HAVING count(*) >= 2)
+SELECT series_id, stack_hash, n, regexp_replace(w, '\\(.*', '') AS "where" FROM g WHERE n >= 5
+  AND stack_hash IN (SELECT stack_hash FROM g GROUP BY 1 HAVING count(*) = 1)""")
 def _(spark, sf):
     return flat(FL.unique_stack_outliers(document_nodes(spark, sf)), "series_id", "stack_hash", "n", "where")
 
@@ -417,10 +424,13 @@ SELECT series_id AS node, 'state-distribution' AS kind, 'node ' || series_id ||
   '% of threads ' || state || ' (fleet median: ' || CAST(CAST(round(med) AS BIGINT) AS VARCHAR) || '%)' AS explanation FROM so
 UNION ALL
 SELECT series_id, 'pool-utilization', 'node ' || series_id || ' diverges: pool "' || pool || '" is ' || CAST(CAST(round(busy) AS BIGINT) AS VARCHAR) ||
-  '% busy (fleet median: ' || CAST(CAST(round(med) AS BIGINT) AS VARCHAR) || '%)' FROM po"""))
+  '% busy (fleet median: ' || CAST(CAST(round(med) AS BIGINT) AS VARCHAR) || '%)' FROM po
+UNION ALL
+SELECT series_id, 'unique-stack', 'node ' || series_id || ' diverges: ' || CAST(n AS VARCHAR) || ' threads share a stack in ' || w ||
+  ' that no other node shows (fleet median: 0)' FROM us"""))
 def _(spark, sf):
     _t, d = snapshot(spark, sf, True)
-    return FL.outliers(_uneven(d)).filter("kind <> 'unique-stack'")
+    return FL.outliers(_uneven(d))
 
 
 @query("fleet_detail", snap(by_node=True, body="""

@@ -114,15 +114,18 @@ def _(spark, sf):
 
 
 def _carriers(spark, sf):
-    """Orders as virtual threads carried by their customers; dump = customer key modulo 16."""
+    """Orders as virtual threads carried by their customers; dump = customer key modulo 16.
+
+    Customers without a positive balance stand in the dump under another id, so their carriers are not found."""
     o = read(spark, sf, "orders").select(
         F.lit("all").alias("series_id"), (F.col("o_custkey") % 16).alias("dump_idx"),
         F.col("o_orderkey").alias("thread_ord"), F.concat(F.lit("virtual-"), F.col("o_orderkey").cast("string")).alias("name"),
         F.lit(None).cast("bigint").alias("java_id"), F.lit(True).alias("is_virtual"),
         F.col("o_custkey").cast("string").alias("carrier_tid"), F.lit(False).alias("is_vm"))
-    c = read(spark, sf, "customer").filter("c_acctbal > 0").select(
+    c = read(spark, sf, "customer").select(
         F.lit("all").alias("series_id"), (F.col("c_custkey") % 16).alias("dump_idx"),
-        F.col("c_custkey").alias("thread_ord"), F.col("c_name").alias("name"), F.col("c_custkey").alias("java_id"),
+        F.col("c_custkey").alias("thread_ord"), F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("java_id"),
         F.lit(False).alias("is_virtual"), F.lit(None).cast("string").alias("carrier_tid"), F.lit(False).alias("is_vm"))
     return o.unionByName(c)
 
@@ -130,7 +133,7 @@ def _carriers(spark, sf):
 @query("virtual_counts", """
 SELECT o.dump_idx, o.n AS virtual, coalesce(c.n, 0) AS platform
 FROM (SELECT o_custkey % 16 AS dump_idx, count(*) AS n FROM orders GROUP BY 1) o
-LEFT JOIN (SELECT c_custkey % 16 AS dump_idx, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1) c USING (dump_idx)""")
+LEFT JOIN (SELECT c_custkey % 16 AS dump_idx, count(*) AS n FROM customer GROUP BY 1) c USING (dump_idx)""")
 def _(spark, sf):
     return flat(S.virtual_counts(_carriers(spark, sf)), "dump_idx", "virtual", "platform")
 

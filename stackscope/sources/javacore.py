@@ -9,6 +9,7 @@ from stackscope.functions.frames import normalize_j9_frame, parse_frame
 from stackscope.functions.names import map_j9_state
 from stackscope.functions.scan import running
 from stackscope.functions.text import strip
+from stackscope.session import store
 from stackscope.sources.hotspot import place_locks
 from stackscope.sources.tables import Tables, index_dumps
 
@@ -26,8 +27,6 @@ OWNER = r'(?:owner|Flat locked by)\s+"([^"]*)"'
 WAITER = r'^3LK(WAITER|WAITNOTIFY)\s+"([^"]*)".*$'
 CYCLE_THREAD = r'^2LKDEADLOCKTHR\s+Thread\s+"([^"]*)".*$'
 DATE = r"^1TIDATETIME(UTC)?\s+Date:\s*(\d{4}/\d{2}/\d{2}) at (\d{2}:\d{2}:\d{2})(?::(\d{1,3}))?.*$"
-SECTION_TAGS = ("4XENATIVESTACK", "3XMTHREADINFO2", "3XMHEAPALLOC", "5XENATIVESTACK",
-                "3LKWAITERQ", "3LKNOTIFYQ")
 KEY = ["series_id", "file"]
 
 
@@ -41,7 +40,7 @@ def _cls(c: Column) -> Column:
 
 
 def tag_lines(lines: DataFrame) -> DataFrame:
-    """Tagged lines with their thread, monitor and deadlock-report ordinals."""
+    """Tagged lines with their thread, monitor and deadlock-report ordinals; stored, as every table reads them."""
     df = lines.filter((F.col("line") != "") & ~F.col("line").startswith("NULL"))
     df = df.withColumn("tag", F.regexp_extract("line", r"^(\S*)", 1)) \
            .withColumn("line", F.regexp_replace("line", r"\s+$", ""))
@@ -51,7 +50,7 @@ def tag_lines(lines: DataFrame) -> DataFrame:
         _cls(_get(F.col("line"), MONITOR, 1)).alias("cls"))) \
         .when(tag.isin("3LKMONOBJECT", "2LKMONINUSE"), F.struct(
             F.lit(None).cast("string").alias("address"), F.lit(None).cast("string").alias("cls")))
-    return running(
+    return store(running(
         df, KEY, "chunk", ["pos"],
         last={
             "monitor": monitor,
@@ -61,7 +60,7 @@ def tag_lines(lines: DataFrame) -> DataFrame:
         total={
             "thread_no": F.when(tag == "3XMTHREADINFO", 1).otherwise(0),
             "cycle_no": F.when(tag == "1LKDEADLOCK", 1).otherwise(0),
-        })
+        }))
 
 
 def javacore_tables(tagged: DataFrame) -> Tables:
@@ -190,6 +189,7 @@ def _dump_level(df: DataFrame, thread: DataFrame, keys: list[str]):
     noise = ~line.rlike(r"^\d[A-Z]{2,}") & (strip(line) != "")
     dump = df.groupBy(*keys).agg(
         F.first("source_name", ignorenulls=True).alias("source_name"),
+        (F.min("input_ord") if "input_ord" in df.columns else F.lit(0)).alias("input_ord"),
         F.max_by(stamp, F.when(utc & stamp.isNotNull(), at)).alias("_utc"),
         F.min_by(stamp, F.when(~utc & stamp.isNotNull(), at)).alias("_local"),
         F.max_by(rest, F.when(tag == "1TISIGINFO", at)).alias("dump_reason"),
@@ -217,7 +217,7 @@ def _dump_level(df: DataFrame, thread: DataFrame, keys: list[str]):
     w = Window.partitionBy(*keys, "cycle_no")
     cycle = names.withColumn("_n", F.count("*").over(w)).filter("_n >= 2").select(
         *keys, "cycle_no", F.row_number().over(w.orderBy("at")).cast("long").alias("pos"), "thread_name")
-    return (dump.select(*keys, "ts", "banner", "source_name", "saw_sync", "dump_reason"),
+    return (dump.select(*keys, "input_ord", "ts", "banner", "source_name", "saw_sync", "dump_reason"),
             thread, cycle, msgs)
 
 

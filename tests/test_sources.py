@@ -192,7 +192,7 @@ def test_json_dump(spark, tmp_path):
     t = parse_json_dump(spark, str(p))
     rows = {r.name: r for r in t.thread.collect()}
     v = rows["virtual-31"]
-    assert (v.is_virtual, v.java_id, v.carrier_tid, v.state, len(v.frames)) == (True, 31, "24", "RUNNABLE", 60)
+    assert (v.is_virtual, v.java_id, v.carrier_tid, v.state, len(v.frames)) == (True, 31, "24", "RUNNABLE", 80)
     assert v.frames[0].sig == "java.lang.VirtualThread.park" and v.tid_hex is None
     assert rows["carrier-1"].state == "UNKNOWN" and rows["carrier-1"].state_detail == "root"
 

@@ -94,3 +94,92 @@ def test_ingest_appends_new_files(spark, tmp_path):
     assert spark.read.parquet(out + "/thread").count() == 4
     assert spark.read.parquet(out + "/dump").count() == 2
     assert [r.id for r in spark.read.parquet(out + "/finding").collect()] == ["sync-logging-bottleneck"]
+
+
+def test_a_stuck_thread_over_three_triggers(spark, tmp_path):
+    """Text, javacore and JSON files in turn: numbering and runs go on over batches, as in one batch run; replays count once."""
+    import json
+
+    from test_sources import javacore, json_doc
+
+    from stackscope.plans.analyze import analyze
+    from stackscope.sources.load import load_dumps
+    from stackscope.streaming.ingest import latest_stuck
+    src = tmp_path / "dumps"
+    src.mkdir()
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    def busy(cpu):
+        return thread("http-nio-8080-exec-1", 7, frames=("com.shop.Pay.hash", "com.shop.Pay.run"), cpu=cpu, elapsed=cpu / 1000)
+
+    def other(k):
+        return thread("http-nio-8080-exec-2", 8, frames=(f"com.shop.Step{k}.go",), cpu=1.0, elapsed=1.0)
+
+    files = [("a.txt", dump("2024-03-01 10:00:00", [busy(1000.0), other(0)])),
+             ("b.txt", dump("2024-03-01 10:01:00", [busy(61000.0), other(1)])),
+             ("c.txt", dump("2024-03-01 10:02:00", [busy(121000.0), other(2)])),
+             ("d.txt", javacore()), ("e.json", [json.dumps(json_doc())])]
+
+    def run():
+        q = ingest_dumps_stream(dump_lines_stream(spark, str(src)), out, cp)
+        q.processAllAvailable()
+        q.stop()
+
+    counts = []
+    for batch in (files[:1], files[1:2], files[2:]):
+        for name, lines in batch:
+            write(src, name, lines)
+        run()
+        found = [r.id for r in spark.read.parquet(out + "/finding").collect()]
+        counts.append(found.count("stuck-thread"))
+    assert counts == [0, 0, 1]
+    whole = load_dumps(spark, [str(src / n) for n, _ in files])
+    batch = analyze(whole)
+    want = batch.tables["stuck_threads"].select("key", "from_dump", "to_dump", "run_length", "kind", "severity", "why", "cpu_delta_ms", "wall_s").collect()
+    got = latest_stuck(spark, out).select("key", "from_dump", "to_dump", "run_length", "kind", "severity", "why", "cpu_delta_ms", "wall_s").collect()
+    assert sorted(got) == sorted(want) and len(got) == 1 and got[0].run_length == 3
+    columns = [c for c in whole.dump.columns if c != "reordered"]
+    assert sorted(spark.read.parquet(out + "/dump").select(*columns).collect()) == sorted(whole.dump.select(*columns).collect())
+    one = [r.severity for r in spark.read.parquet(out + "/finding").filter("id = 'stuck-thread'").collect()]
+    assert one == [r.severity for r in batch.findings.filter("id = 'stuck-thread'").collect()]
+
+
+def test_runs_merge_in_any_order(spark):
+    """Parts of a series merged one after the other, or all together, give the runs of the whole."""
+    import itertools
+
+    from stackscope.operators.series import RUN, merge_runs
+    rnd = random.Random(3)
+    rows, want = [], []
+    for key in "abc":
+        fps = [rnd.choice("xxyz") for _ in range(14)]
+        at = 0
+        for fp, g in itertools.groupby(fps):
+            n = len(list(g))
+            want.append((key, fp, at, at + n - 1, float(at), float(at + n - 1)))
+            at += n
+        rows += [("s", key, fp, key, i, i, i if i % 2 else None, None, float(i), float(i), None, None) for i, fp in enumerate(fps)]
+    one = spark.createDataFrame(rows, RUN)
+
+    def plain(df):
+        return sorted(tuple(r) for r in df.select("key", "fp", "from_dump", "to_dump", "cpu_first", "cpu_last").collect())
+
+    assert plain(merge_runs(one)) == sorted(want)
+    parts = [merge_runs(one.filter(f"from_dump >= {a} and from_dump < {b}")) for a, b in ((0, 5), (5, 6), (6, 14))]
+    left = merge_runs(merge_runs(parts[0].unionByName(parts[1])).unionByName(parts[2]))
+    right = merge_runs(parts[0].unionByName(merge_runs(parts[2].unionByName(parts[1]))))
+    assert plain(left) == plain(right) == sorted(want)
+    first = {(r.key, r.from_dump): r.runnable_at for r in left.collect()}
+    assert first == {(k, a): next((i for i in range(a, b + 1) if i % 2), None) for k, _, a, b, _, _ in want}
+
+
+def test_late_dumps_keep_their_place_of_arrival(spark):
+    from stackscope.sources.tables import index_dumps
+    from stackscope.sources.load import tables_of
+    from stackscope.streaming.ingest import SERIES, _numbered_on
+    from dumps import line_table
+    lines = line_table(spark, dump("2024-03-01 10:01:00", [thread("main", 1)]), "b.txt").withColumn("input_ord", F.lit(0))
+    before = spark.createDataFrame([("series", 4)], "series_id string, dumps long").withColumn(
+        "last_ts", F.lit("2024-03-01 10:05:00").cast("timestamp"))
+    t = _numbered_on(index_dumps(tables_of(lines)), before.select(*[c.split()[0] for c in SERIES.split(", ")]))
+    assert [(r.dump_idx, r.source_name, r.reordered) for r in t.dump.collect()] == [(4, "b.txt#1", True)]
+    assert [r.dump_idx for r in t.thread.collect()] == [4]
