@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stackscope.functions.scan import running
 from stackscope.session import cut
@@ -69,33 +71,70 @@ def threshold_trigger(metrics: DataFrame, cpu_pct: float | None, thread_count: i
         "pid", F.timestamp_micros("_us").alias("ts"), "reason")
 
 
+def step(state: tuple, us: np.ndarray, ticks: np.ndarray, threads: np.ndarray, cpu_pct: float | None,
+         thread_count: int | None, wait: int, cores: int) -> tuple[tuple, np.ndarray, list[str]]:
+    """New state, places of the samples that fire, and their reasons, of one process's samples in time order.
+
+    state: ticks and time of the last counted sample, and the time until which the trigger rests. Missing ticks are NaN.
+    """
+    prev_ticks, prev_us, until = state
+    known = np.flatnonzero(~np.isnan(ticks))
+    pct = np.full(len(us), np.nan)
+    if len(known):
+        first = [np.nan, 0] if prev_ticks is None else [prev_ticks, prev_us]
+        used = np.diff(np.r_[first[0], ticks[known]]) / TICKS_PER_SECOND
+        wall = np.diff(np.r_[first[1], us[known]]) / 1e6
+        pct[known] = np.where(wall > 0, 100.0 * used / np.where(wall > 0, wall, 1) / max(1, cores), np.nan)
+        prev_ticks, prev_us = int(ticks[known[-1]]), int(us[known[-1]])
+    none = np.zeros(len(us), bool)
+    cpu = none if cpu_pct is None else pct >= cpu_pct
+    many = none if thread_count is None else threads >= thread_count
+    over = np.flatnonzero(cpu | many)
+    fired, reasons, at = [], [], 0
+    while True:                                            # one turn for every fire, not for every sample
+        if until is not None:
+            at = max(at, int(np.searchsorted(us[over], until)))
+        if at >= len(over):
+            break
+        i = over[at]
+        fired.append(i)
+        reasons.append(f"cpu {pct[i]:,.1f}% >= threshold {cpu_pct:.1f}%" if cpu[i]
+                       else f"thread count {int(threads[i])} >= threshold {thread_count}")
+        until, at = int(us[i]) + wait, at + 1
+    return (prev_ticks, prev_us, until), np.array(fired, int), reasons
+
+
 def threshold_trigger_stream(metrics: DataFrame, cpu_pct: float | None, thread_count: int | None,
-                             cooldown_s: float, cores: int = 1) -> DataFrame:
-    """The same on a streaming DataFrame; the state is three numbers per process."""
-    wait = int(cooldown_s * 1_000_000)
+                             cooldown_s: float, cores: int = 1, expire_s: float = 86_400) -> DataFrame:
+    """The same on a streaming DataFrame; the state is three numbers per process.
+
+    A process that sends nothing for ``expire_s`` seconds (of processing time) is forgotten: its next sample primes
+    anew. The state store must be the RocksDB one, which is set on the session. Samples of one process and one
+    micro-batch are ordered in memory, as three numbers each; ``maxFilesPerTrigger`` of the source bounds them.
+    """
+    wait, expire = int(cooldown_s * 1_000_000), int(expire_s * 1000)
+    spark = metrics.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    class Trigger(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("process", STATE, expire)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            parts = [(r["ts"].to_numpy("datetime64[us]").astype(np.int64), r["ticks"].to_numpy(float, na_value=np.nan),
+                      r["thread_count"].to_numpy(float, na_value=np.nan)) for r in rows]
+            us, ticks, threads = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(us, kind="stable")
+            us, ticks, threads = us[order], ticks[order], threads[order]
+            before = tuple(self.state.get()) if self.state.exists() else (None, None, None)
+            after, fired, reasons = step(before, us, ticks, threads, cpu_pct, thread_count, wait, cores)
+            self.state.update(after)
+            yield pd.DataFrame({"pid": np.full(len(fired), key[0]), "ts": us[fired].astype("datetime64[us]"),
+                                "reason": pd.Series(reasons, dtype=object)})
+
+        def close(self) -> None:
+            pass
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        prev_ticks, prev_us, until = state.get if state.exists else (None, None, None)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts")
-        out = []
-        for r in rows.itertuples(index=False):
-            us = int(r.ts.value // 1000)
-            reason = None
-            if cpu_pct is not None and not pd.isna(r.ticks):
-                if prev_ticks is not None and us > prev_us:
-                    used = (r.ticks - prev_ticks) / TICKS_PER_SECOND
-                    pct = 100.0 * used / ((us - prev_us) / 1e6) / max(1, cores)
-                    if pct >= cpu_pct:
-                        reason = f"cpu {pct:,.1f}% >= threshold {cpu_pct:.1f}%"
-                prev_ticks, prev_us = int(r.ticks), us
-            if reason is None and thread_count is not None and not pd.isna(r.thread_count):
-                if r.thread_count >= thread_count:
-                    reason = f"thread count {int(r.thread_count)} >= threshold {thread_count}"
-            if reason is not None and (until is None or us >= until):
-                out.append((key[0], r.ts, reason))
-                until = us + wait
-        state.update((prev_ticks, prev_us, until))
-        yield pd.DataFrame(out, columns=["pid", "ts", "reason"])
-
-    return metrics.groupBy("pid").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", "NoTimeout")
+    return metrics.select("pid", "ts", "ticks", "thread_count").groupBy("pid").transformWithStateInPandas(
+        Trigger(), OUTPUT, "append", "processingTime")

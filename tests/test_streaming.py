@@ -49,18 +49,62 @@ def test_batch_trigger_matches_a_loop(spark):
         "pid", F.col("ts")).collect()) == sorted(expected(rows, 80.0, 55, 45))
 
 
-def test_stream_trigger_over_batches(spark, tmp_path):
-    rows = sorted(metrics(), key=lambda r: r[1])
+def send(spark, tmp_path, rows, *args, **options):
+    """One more micro-batch; a stream with processing-time state would run empty batches for ever, so each run is a single one."""
     src = str(tmp_path / "in")
-    for k in range(3):
-        frame(spark, rows[k * 60:(k + 1) * 60]).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
-    q = threshold_trigger_stream(stream, 80.0, 55, 45).writeStream.format("memory").queryName("fires") \
-        .outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted((r.pid, int(r.ts.timestamp())) for r in spark.table("fires").collect())
-    assert got == sorted(expected(rows, 80.0, 55, 45))
+    frame(spark, rows).coalesce(1).write.mode("append").parquet(src)
+    q = threshold_trigger_stream(spark.readStream.schema(SCHEMA).parquet(src), *args, **options).writeStream.format("parquet").option(
+        "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
+    assert q.awaitTermination(90)
+    return spark.read.schema("pid long, ts timestamp, reason string").parquet(str(tmp_path / "out"))
+
+
+def test_stream_trigger_over_any_batch_borders(spark, tmp_path):
+    """Uneven batches, several rows of a process in each and in any order, equal the batch twin."""
+    rows = sorted(metrics(), key=lambda r: r[1])
+    for a, b in ((0, 7), (7, 95), (95, 180)):
+        out = send(spark, tmp_path, random.Random(a).sample(rows[a:b], b - a), 80.0, 55, 45)
+    got = sorted((r.pid, r.ts, r.reason) for r in out.collect())
+    assert got == sorted((r.pid, r.ts, r.reason) for r in threshold_trigger(frame(spark, rows), 80.0, 55, 45).collect()) and got
+
+
+def test_the_state_of_a_dead_process_expires(spark, tmp_path):
+    import time
+    assert send(spark, tmp_path, [(1, 1_700_000_000, 0, 1), (1, 1_700_000_010, 1000, 1)], 80.0, None, 0, expire_s=2).count() == 1
+    time.sleep(3)
+    # forgotten meanwhile: without the earlier sample the next one only primes
+    assert send(spark, tmp_path, [(1, 1_700_000_020, 2000, 1)], 80.0, None, 0, expire_s=60).count() == 1
+    assert send(spark, tmp_path, [(1, 1_700_000_030, 3000, 1)], 80.0, None, 0, expire_s=60).count() == 2
+
+
+def test_steps_of_a_process(spark):
+    """The array step against a loop over samples, with missing values and equal times."""
+    import numpy as np
+
+    from stackscope.streaming.trigger import step
+    rnd = random.Random(8)
+    for _ in range(60):
+        n = rnd.randrange(1, 30)
+        us = np.cumsum([rnd.choice([0, 1, 5]) * 1_000_000 for _ in range(n)])
+        ticks = np.array([rnd.choice([np.nan, rnd.randrange(0, 900)]) for _ in range(n)])
+        threads = np.array([rnd.choice([np.nan, 3, 9]) for _ in range(n)])
+        want, prev, until = [], None, None
+        for i in range(n):
+            hit = False
+            if not np.isnan(ticks[i]):
+                if prev is not None and us[i] > prev[1]:
+                    hit = (ticks[i] - prev[0]) / 100 / ((us[i] - prev[1]) / 1e6) * 100 >= 80
+                prev = (ticks[i], us[i])
+            if (hit or threads[i] >= 9) and (until is None or us[i] >= until):
+                want.append(i)
+                until = us[i] + 6_000_000
+        cut = rnd.randrange(0, n + 1)
+        state, got = (None, None, None), []
+        for a, b in ((0, cut), (cut, n)):
+            if b > a:
+                state, fired, _ = step(state, us[a:b], ticks[a:b], threads[a:b], 80.0, 9, 6_000_000, 1)
+                got += [a + int(i) for i in fired]
+        assert got == want
 
 
 def test_slices_close_behind_the_watermark(spark, tmp_path):
