@@ -34,19 +34,30 @@ def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def similar_incidents(analysis: DataFrame, stacks: DataFrame, query: DataFrame,
                       threshold: float = SIMILARITY) -> DataFrame:
-    """Past analyses whose stack set overlaps a query set by the threshold or more.
+    """Past analyses whose stack set overlaps a query set by the threshold (above 0) or more.
 
-    query: (query_id, hash). Sets meet through one equi-join on the hash; only
-    pairs that share a stack are ever formed, and only their counts are kept.
+    query: (query_id, hash). Each set is ordered from its rarest hash to its most common one. Sets at the threshold share
+    at least threshold times the size of either, so they meet in the first hashes of both, and their sizes are not far
+    apart: only such pairs are formed. A hash that all incidents have comes last and brings no pair by itself.
     """
     past = stacks.select("analysis_id", "hash").distinct()
     q = query.select("query_id", "hash").distinct()
-    shared = q.join(past, "hash").groupBy("query_id", "analysis_id").agg(F.count("*").alias("shared"))
-    a = past.groupBy("analysis_id").agg(F.count("*").alias("_a"))
-    b = q.groupBy("query_id").agg(F.count("*").alias("_b"))
+    often = past.groupBy("hash").agg(F.count("*").alias("_f"))
+
+    def first(sets: DataFrame, id_: str, size: str) -> DataFrame:
+        n = sets.groupBy(id_).agg(F.count("*").alias(size))
+        w = Window.partitionBy(id_).orderBy(F.coalesce("_f", F.lit(0)), "hash")
+        least = F.ceil(F.col(size) * threshold - 1e-9)
+        return sets.join(often, "hash", "left").withColumn("_rank", F.row_number().over(w)).join(n, id_).filter(
+            F.col("_rank") <= F.col(size) - least + 1).select(id_, "hash", size)
+
+    near = (F.col("_a") >= F.col("_b") * threshold - 1e-9) & (F.col("_b") >= F.col("_a") * threshold - 1e-9)
+    pairs = first(q, "query_id", "_b").join(first(past, "analysis_id", "_a"), "hash").filter(near).select(
+        "query_id", "analysis_id", "_a", "_b").distinct()
+    shared = pairs.join(q, "query_id").join(past, ["analysis_id", "hash"], "left_semi").groupBy(
+        "query_id", "analysis_id", "_a", "_b").agg(F.count("*").alias("shared"))
     overlap = F.col("shared") / (F.col("_a") + F.col("_b") - F.col("shared"))
-    hits = shared.join(a, "analysis_id").join(b, "query_id").withColumn("_o", overlap) \
-        .filter(F.col("_o") >= threshold)
+    hits = shared.withColumn("_o", overlap).filter(F.col("_o") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("_o"), F.desc("ts"), "analysis_id")
     return hits.join(analysis.select(F.col("id").alias("analysis_id"), "ts", "label"), "analysis_id").select(
         "query_id", "analysis_id", "ts", "label", "shared", F.round("_o", 3).alias("overlap"),
@@ -54,10 +65,10 @@ def similar_incidents(analysis: DataFrame, stacks: DataFrame, query: DataFrame,
 
 
 def shared_hashes(stacks: DataFrame, query: DataFrame, hits: DataFrame, n: int = 10) -> DataFrame:
-    """The first shared hashes of every similar pair."""
+    """The first shared hashes of every similar pair; only hits are expanded."""
     w = Window.partitionBy("query_id", "analysis_id").orderBy("hash")
-    return query.select("query_id", "hash").distinct().join(stacks.distinct(), "hash") \
-        .join(hits.select("query_id", "analysis_id"), ["query_id", "analysis_id"], "left_semi") \
+    return hits.select("query_id", "analysis_id").distinct().join(query.select("query_id", "hash").distinct(), "query_id") \
+        .join(stacks.select("analysis_id", "hash").distinct(), ["analysis_id", "hash"], "left_semi") \
         .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

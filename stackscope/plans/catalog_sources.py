@@ -1,5 +1,7 @@
 """Queries that print tables as raw text, read it back and compare with the tables."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,14 @@ from stackscope.plans.catalog_series import RUNS
 from stackscope.plans.registry import flat, query
 from stackscope.plans.snapshots import dump_text, event_tables, read
 from stackscope.plans.sqlbase import snap
-from stackscope.session import store
+from stackscope.session import shared_dir, store
 from stackscope.sources import kb
 from stackscope.sources.gclog import parse_gc_log
 from stackscope.sources.hotspot import parse_hotspot, segment_lines
 from stackscope.sources.javacore import parse_javacore
 from stackscope.sources.jsondump import DOCUMENT, json_tables
 from stackscope.sources.lines import sniff_format
+from stackscope.sources.load import load_cluster, load_dumps
 from stackscope.sources.samples import slice_samples
 from stackscope.sources.tables import Tables, index_dumps
 from stackscope.sources.top import parse_top
@@ -99,6 +102,41 @@ def _(spark, sf):
     return flat(seg.groupBy("dump_no", "code").agg(F.count("*").alias("n")), "dump_no", "code", "n")
 
 
+def printed(spark, sf, by_node=False):
+    """The snapshot as text files in the shared folder, one for every day (and node)."""
+    path = f"{shared_dir(spark)}/printed-{uuid.uuid4().hex}"
+    text = dump_text(event_tables(spark, sf, by_node)).select("series_id", F.shiftright("pos", 40).alias("day"), "pos", "line")
+    text.repartition("series_id", "day").sortWithinPartitions("series_id", "day", "pos").drop("pos") \
+        .write.partitionBy("series_id", "day").text(path)
+    return path
+
+
+@query("loaded_threads", snap(body="""
+SELECT dump_idx, name, u AS java_id, CAST(cpu AS DOUBLE) AS cpu_ms, state, 3 AS frames, r0 AS top_frame,
+  CASE WHEN et = 'view' OR (et = 'error' AND u % 5 = 0) THEN 2 WHEN et IN ('error', 'purchase') THEN 1 ELSE 0 END AS locks FROM snap"""))
+def _(spark, sf):
+    """Files read by path, told apart by content, parsed and ordered."""
+    t = load_dumps(spark, f"{printed(spark, sf)}/series_id=all").thread
+    return flat(t, "dump_idx", "name", "java_id", "cpu_ms", "state", frames=F.size("frames"), top_frame=F.get("frames", F.lit(0))["raw"],
+                locks=F.size("locks"))
+
+
+@query("loaded_dumps", snap(body="""
+SELECT dump_idx, epoch_ms(CAST(day AS TIMESTAMP)) AS ts_ms, 'Full thread dump of all' AS banner, 'cluster' AS series_id FROM days"""))
+def _(spark, sf):
+    d = load_dumps(spark, f"{printed(spark, sf)}/series_id=all", series_id="cluster").dump
+    return flat(d, "dump_idx", "banner", "series_id", ts_ms=F.unix_millis("ts"))
+
+
+@query("cluster_threads", snap(by_node=True, body="""
+SELECT CASE series_id WHEN 'n3' THEN 'third' ELSE series_id END AS series_id, dump_idx, name, state, elapsed AS elapsed_s FROM snap"""))
+def _(spark, sf):
+    """Ten nodes in one read, each named by a glob of its own."""
+    path = printed(spark, sf, True)
+    nodes = {("third" if k == 3 else f"n{k}"): f"{path}/series_id=n{k}/day=*" for k in range(10)}
+    return flat(load_cluster(spark, nodes).thread, "series_id", "dump_idx", "name", "state", "elapsed_s")
+
+
 def document_lines(spark, sf):
     """Documents as files, every fourth one with a tagged first line, every other fourth a JSON one."""
     k = F.col("doc_id") % 4

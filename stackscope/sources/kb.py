@@ -57,9 +57,18 @@ def merge_kb(defaults: DataFrame, overrides: DataFrame, key: str, keep_position:
     rank = Window.partitionBy(key).orderBy("_src", "kb_ord")
     both = d.unionByName(o.select(*d.columns)) \
         .withColumn("_rn", F.row_number().over(rank)).filter("_rn = 1")
-    group = F.when(F.col("_slot").isNotNull(), 1).otherwise(2 if keep_position else 0)
-    order = Window.orderBy(group, F.coalesce("_slot", "kb_ord"), "kb_ord", key)
-    return both.withColumn("kb_ord", F.row_number().over(order) - 1).drop("_src", "_slot", "_rn")
+    # numbered chunk by chunk: ranks inside a thousand places, and the rows of the chunks before
+    at = F.coalesce("_slot", "kb_ord")
+    both = both.withColumn("_group", F.when(F.col("_slot").isNotNull(), 1).otherwise(2 if keep_position else 0)) \
+        .withColumn("_chunk", F.floor(at / 1024))
+    sizes = both.groupBy("_group", "_chunk").agg(F.count("*").alias("_n"))
+    # one row for a thousand entries
+    before = Window.orderBy("_group", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sizes.select("_group", "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_group", "_chunk").orderBy(at, "kb_ord", key)
+    return both.withColumn("_place", F.row_number().over(inside) - 1).join(carry, ["_group", "_chunk"]).withColumn(
+        "kb_ord", (F.col("_before") + F.col("_place")).cast("int")).drop(
+        "_src", "_slot", "_rn", "_group", "_chunk", "_place", "_before")
 
 
 def rule_table(spark: SparkSession, entries=BUNDLED_RULES) -> DataFrame:

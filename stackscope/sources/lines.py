@@ -74,7 +74,7 @@ def _pattern(spark: SparkSession, path: str) -> str:
         else:
             out += re.escape(c)
         at += 1
-    return f"^{out}(/[^/]*)?$"
+    return f"^{out}(/.*)?$"
 
 
 def sniff_format(lines: DataFrame) -> DataFrame:
