@@ -60,6 +60,14 @@ class Cache(dict):
         return value
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, letter case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_hashes() -> Cache:
     return Cache(xxhash.xxh3_64_intdigest)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackscope.llm.common import lower_ascii
+from stackscope.llm.common import lower_ascii, unused
 from stackscope.session import store
 
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -135,6 +135,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Whether a row is contaminated hangs on its text alone, so rows sharing an id are judged each on its own.
     """
+    name = unused(docs, "bad")
     keyed = docs.select(F.xxhash64(text_col).alias("k"), F.col(text_col).alias("t")).where("t is not null")
-    bad = scan(keyed, benchmark, "k", "t").where("contaminated").select(F.col("k").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs[text_col]) == F.col("_bad"), "left_anti")
+    bad = scan(keyed, benchmark, "k", "t").where("contaminated").select(F.col("k").alias(name)).distinct()
+    return docs.join(bad, F.xxhash64(docs[text_col]) == F.col(name), "left_anti")

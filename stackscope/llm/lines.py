@@ -101,12 +101,15 @@ def units(text: str, powers: Powers) -> tuple[np.ndarray, ...]:
     return powers.hashes(w, first).astype(np.int64), start[first], end[first + size - 1], size, row[first]
 
 
-def line_digests(unit_digest: np.ndarray, unit_line: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(digest, first unit) of each line, from its units."""
+def line_digests(unit_digest: np.ndarray, size: np.ndarray, unit_line: np.ndarray, least: int,
+                 powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, first unit, number of units) of each line of ``least`` words or more, from its units."""
     first = _changes(unit_line)
     if not len(first):
-        return np.empty(0, np.int64), first
-    return mix(powers.hashes(unit_digest.astype(np.uint64), first) + np.uint64(77)).astype(np.int64), first
+        return np.empty(0, np.int64), first, first
+    digest = mix(powers.hashes(unit_digest.astype(np.uint64), first) + np.uint64(77)).astype(np.int64)
+    long = np.add.reduceat(size, first) >= least
+    return digest[long], first[long], _sizes(first, len(unit_line))[long]
 
 
 def runs(unit_digest: np.ndarray, size: np.ndarray, unit_line: np.ndarray, min_words: int,
@@ -138,18 +141,21 @@ def runs(unit_digest: np.ndarray, size: np.ndarray, unit_line: np.ndarray, min_w
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None,
-          min_words: int = 16) -> DataFrame:
+          min_words: int = 16, min_line_words: int = 1) -> DataFrame:
     """One row per input row: id, text (what is left), n_units, n_removed, removed (array of start, end).
 
     ``rank_col`` orders documents (default: the id); ties go to the smaller id, then to the smaller offset.
-    Null text: null, nothing removed. Null ids or ranks come last. Rows sharing an id are one place
-    in the order and keep the same units. Other columns are not looked at.
+    Removed are whole lines of ``min_line_words`` words or more, and inside lines runs of ``min_words`` words. Short lines
+    repeat by chance: with a least length they stay, unless a longer passage covers them. Texts are read whole, however long.
+    Null text: null, nothing removed. Rows with a null id come last, in the order of a hash of their text, and so do null ranks.
+    Rows sharing an id are one place in the order and keep the same units. Other columns are not looked at. Empty table: no rows.
     """
-    rank = F.col(rank_col) if rank_col else F.col(id_col)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                       F.coalesce(rank.cast("long"), F.lit(2**63 - 1)).alias("rank"))
+    # ids lie below 2^62; a null id has its text's place beyond them, so such rows are no group of their own
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(text_col), F.lit(2**61)))
+    rank = F.coalesce(F.col(rank_col).cast("long"), F.lit(2**63 - 1)) if rank_col else own
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), own.alias("own"), rank.alias("rank"))
     # without a rank column the rank alone is a document's place, which halves what is shuffled
-    place = ["rank", "id"] if rank_col else ["rank"]
+    place = ["rank", "own"] if rank_col else ["rank"]
     cache: list = []
 
     def digests(cols: dict) -> dict:
@@ -158,21 +164,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
         every = []
         for t in cols["text"]:
             d, _, _, n, row = units(t or "", cache[0])
-            every.append(np.unique(np.concatenate((line_digests(d, row, cache[0])[0],
+            every.append(np.unique(np.concatenate((line_digests(d, n, row, min_line_words, cache[0])[0],
                                                    runs(d, n, row, min_words, cache[0])[0]))))
         times = [len(x) for x in every]
-        return {"id": np.repeat(np.array(cols["id"], object), times) if rank_col else [],
+        return {"own": np.repeat(np.array(cols["own"], np.int64), times) if rank_col else [],
                 "rank": np.repeat(np.array(cols["rank"], np.int64), times), "d": np.concatenate(every)}
 
     held = store(in_batches(base, digests, "".join(f"{c} long, " for c in reversed(place)) + "d long"))
-    where = (F.struct("rank", F.coalesce("id", F.lit(2**63 - 1)).alias("id")) if rank_col else F.col("rank"))
+    where = F.struct("rank", "own") if rank_col else F.col("rank")
     seen = store(held.groupBy("d").agg(F.min(where).alias("first"), F.max(where).alias("final"))
                  .where("first <> final").select("d", "first"))
     later = held.join(seen, "d").where(F.col("first") != where).select(*place, "d")
     per_doc = later.groupBy(*place).agg(F.collect_set("d").alias("gone"))  # one document's own lines and runs
-    same = base["rank"] == per_doc["rank"]
-    joined = base.join(per_doc, base.id.eqNullSafe(per_doc.id) & same if rank_col else same, "left").select(
-        base.id, "text", "gone")
+    joined = base.join(per_doc, place, "left").select("id", "text", "gone")
 
     def remove(cols: dict) -> dict:
         if not cache:
@@ -180,7 +184,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
         out: dict[str, list] = {c: [] for c in ("id", "text", "n_units", "n_removed", "removed")}
         for i, t, gone in zip(cols["id"], cols["text"], cols["gone"]):
             d, start, end, n, row = units(t or "", cache[0])
-            mask = _repeats(d, n, row, np.sort(np.array(gone or [], np.int64)), min_words, cache[0])
+            mask = _repeats(d, n, row, np.sort(np.array(gone or [], np.int64)), min_words, min_line_words, cache[0])
             cuts = _cuts(t, mask, row, start, end) if mask.any() else []
             kept, at = [], 0
             for s, e in cuts:
@@ -198,7 +202,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_
     return got.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_units", "n_removed", "removed")
 
 
-def _repeats(d: np.ndarray, n: np.ndarray, row: np.ndarray, gone: np.ndarray, min_words: int,
+def _repeats(d: np.ndarray, n: np.ndarray, row: np.ndarray, gone: np.ndarray, min_words: int, min_line_words: int,
              powers: Powers) -> np.ndarray:
     """Which units go: those of lines seen before, in this text or an earlier one, and of runs seen in an earlier one.
 
@@ -210,11 +214,12 @@ def _repeats(d: np.ndarray, n: np.ndarray, row: np.ndarray, gone: np.ndarray, mi
     def seen(x: np.ndarray) -> np.ndarray:
         return gone[np.searchsorted(gone, x).clip(max=len(gone) - 1)] == x if len(gone) else np.zeros(len(x), bool)
 
-    ld, at = line_digests(d, row, powers)
+    ld, at, units_of = line_digests(d, n, row, min_line_words, powers)
     order = np.argsort(ld, kind="stable")
     again = seen(ld)
     again[order[1:]] |= ld[order[1:]] == ld[order[:-1]]
-    mask = np.repeat(again, _sizes(at, len(d)))
+    edges = np.bincount(at[again], minlength=len(d) + 1) - np.bincount((at + units_of)[again], minlength=len(d) + 1)
+    mask = np.cumsum(edges)[:-1] > 0
     if len(gone):
         digest, first, end = runs(d, n, row, min_words, powers)
         hit = seen(digest)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackscope.llm.common import ascii_words, components, in_batches, mix, odd_numbers, shingle_hashes, word_hashes
+from stackscope.llm.common import ascii_words, components, in_batches, mix, odd_numbers, shingle_hashes, unused, word_hashes
 from stackscope.session import store
 
 BANDS, ROWS, BITS, SET_BITS = 32, 4, 1024, 2048
@@ -205,12 +205,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows with a null id, and texts without words, all stay. Repeated rows of a kept id: one row of the id stays.
     """
+    gone_as, again_as = unused(docs, "gone"), unused(docs, "again")
+    own = docs[id_col].cast("long")
     gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept").select(
-        F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    again = (docs.groupBy(F.col(id_col).cast("long").alias("_again")).count().where("count > 1 and _again is not null")
-             .select("_again"))
+        F.col(id_col).alias(gone_as)).distinct()
+    kept = docs.join(gone, own == F.col(gone_as), "left_anti")
+    again = (docs.select(own.alias(again_as)).where(F.col(again_as).isNotNull()).groupBy(again_as)
+             .agg(F.count("*").alias("c")).where("c > 1").select(again_as))
     if not _any(again):
         return kept
-    repeated = kept.join(again, kept[id_col].cast("long") == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col].cast("long") == F.col("_again"), "left_anti").union(repeated)
+    repeated = kept.join(again, kept[id_col].cast("long") == F.col(again_as), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, kept[id_col].cast("long") == F.col(again_as), "left_anti").union(repeated)

@@ -57,11 +57,12 @@ def counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def good_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, limit: int) -> DataFrame:
-    """Documents labelled good, those with the smallest hash of their id; ``limit`` bounds the broadcast."""
-    ids = (labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("_i")).where("_i is not null")
-           .distinct().orderBy(F.xxhash64("_i"), "_i").limit(limit))
-    return docs.join(F.broadcast(ids), docs[id_col].cast("long") == F.col("_i"), "left_semi")
+def good_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
+    """(id, text) of documents labelled good, those with the smallest hash of their id; ``limit`` bounds the broadcast."""
+    ids = (labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+           .distinct().orderBy(F.xxhash64("id"), "id").limit(limit))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids), "id", "left_semi")
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -70,14 +71,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Kept are the round(share * rows) rows with the highest key (log weight plus noise), ties to the smaller id, then to the
     smaller hash of the text; rows equal in both are kept or dropped together. share: by default the share of good ones among the labels. Null or empty texts have no n-grams and log weight 0. A null id has
-    noise like any other. Without labels: nothing is known and share is 1. Other columns are not looked at.
+    noise like any other. Without labels: nothing is known and share is 1. Other columns are not looked at. Texts are read whole, however
+    long. Empty table: no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1))
     if share is None:
         share = known.agg(F.avg(label_col)).first()[0]
         share = 1.0 if share is None else float(share)
-    good = counts(good_sample(docs, known, id_col, label_col, target_docs), text_col)
+    good = counts(good_sample(docs, known, id_col, text_col, label_col, target_docs), "text")
     raw = counts(docs, text_col)
     weight = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
     if not good.sum():
