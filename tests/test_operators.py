@@ -303,3 +303,20 @@ def test_options_reach_the_operators(spark):
     d = derive(t.thread, o)
     assert series.stuck_candidates(series.series_index(d), t.dump, o.stuck_k).count() == 0
     assert {r.pool for r in d.filter("name = 'mover'").collect()} == {"mine ver"}
+
+
+def test_similar_sets_against_all_pairs(spark):
+    """Prefixes of rare hashes lose no pair at any threshold, with a hash that everything shares."""
+    import random
+
+    from stackscope.operators import history
+    rnd = random.Random(4)
+    sets = {f"a{k}": {"common"} | {f"h{rnd.randrange(12 + 3 * (k % 5))}" for _ in range(rnd.randrange(0, 9))} for k in range(40)}
+    asks = {f"q{k}": {"common", f"new{k}"} | set(rnd.sample(sorted(sets[f"a{k}"]), rnd.randrange(0, len(sets[f"a{k}"]) + 1))) for k in range(15)}
+    stacks = spark.createDataFrame([(i, h) for i, s in sets.items() for h in s] * 2, "analysis_id string, hash string")
+    query = spark.createDataFrame([(i, h) for i, s in asks.items() for h in s], "query_id string, hash string")
+    analysis = spark.createDataFrame([(i, None, i) for i in sets], "id string, ts timestamp, label string")
+    for t in (0.3, 0.5, 1.0):
+        want = {(q, a, len(x & y)) for q, x in asks.items() for a, y in sets.items() if len(x & y) / len(x | y) >= t}
+        got = history.similar_incidents(analysis, stacks, query, t).collect()
+        assert {(r.query_id, r.analysis_id, r.shared) for r in got} == want and len(got) == len(want)
