@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stackscope.functions.frames import parse_frame
+from stackscope.knowledge import HOST_SUFFIXES
 from stackscope.operators import history as H
 from stackscope.operators import samples as SM
 from stackscope.operators import series as S
@@ -445,15 +446,54 @@ def _(spark, sf):
     return flat(H.shared_hashes(s, q, H.similar_incidents(a, s, q)), "query_id", "analysis_id", "hash", "rank")
 
 
-@query("redacted_documents", None)
+_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b"
+_IP = r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"
+_ADDR = f"{_EMAIL}|{_IP}"
+# the sides of a host are matched with it instead of looked at; a mark behind every sign serves as the side of the next host
+_SIDED = r"([^\w.@])((?:[A-Za-z0-9][A-Za-z0-9-]*\.)+(?:" + "|".join(HOST_SUFFIXES) + r"))([^\w.])"
+
+
+def _marked(text: str) -> str:
+    return rf"chr(1) || regexp_replace({text}, '([^\w.@-])', '\1' || chr(1), 'g') || chr(1)"
+
+
+_REDACTED = rf"""
+WITH a AS (SELECT doc_id, text, regexp_extract_all(text, '{_ADDR}') AS l FROM documents),
+one AS (SELECT doc_id, unnest(l) AS token, unnest(range(1, len(l) + 1)) AS p FROM a),
+ip AS (SELECT token, 'ip-' || row_number() OVER (ORDER BY doc_id, p) AS pseudo
+  FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc_id, p) AS k FROM one WHERE NOT contains(token, '@')) WHERE k = 1),
+cut1 AS (SELECT doc_id, unnest(s) AS part, unnest(l || [NULL]) AS token, unnest(range(1, len(s) + 1)) AS i
+  FROM (SELECT doc_id, l, string_split_regex(text, '{_ADDR}') AS s FROM a)),
+blank AS (SELECT doc_id, string_agg(part || CASE WHEN contains(token, '@') THEN 'user-0@host-0' ELSE coalesce(pseudo, '') END, '' ORDER BY i) AS text
+  FROM cut1 LEFT JOIN ip USING (token) GROUP BY 1),
+b AS (SELECT doc_id, regexp_extract_all({_marked("text")}, '{_SIDED}', 2) AS hl FROM blank),
+two AS (SELECT doc_id, unnest(hl) AS token, unnest(range(1, len(hl) + 1)) AS p FROM b),
+met AS (SELECT CASE WHEN contains(token, '@') THEN 'email' ELSE 'ip' END AS kind, token, doc_id, 0 AS stage, p FROM one
+  UNION ALL SELECT 'host', split_part(token, '@', 2), doc_id, 0, p FROM one WHERE contains(token, '@')
+  UNION ALL SELECT 'host', token, doc_id, 1, p FROM two),
+place AS (SELECT *, row_number() OVER (PARTITION BY kind, token ORDER BY doc_id, stage, p) AS k FROM met),
+num AS (SELECT kind, token, stage, row_number() OVER (PARTITION BY kind ORDER BY doc_id, stage, p) AS ord FROM place WHERE k = 1),
+tail AS (SELECT token, ord, unnest([array_to_string(string_split(token, '-')[i:], '-') for i in range(2, len(string_split(token, '-')) + 1)]) AS s FROM num WHERE kind = 'host' AND stage = 1),
+base AS (SELECT tail.token, arg_min(tail.s, n.ord) AS s, min(n.ord) AS base_ord FROM tail JOIN num n ON n.kind = 'host' AND n.token = tail.s AND n.ord < tail.ord GROUP BY 1),
+host AS (SELECT n.token, CASE WHEN s IS NULL THEN 'host-' || ord ELSE left(n.token, len(n.token) - len(s)) || 'host-' || base_ord END AS pseudo
+  FROM num n LEFT JOIN base USING (token) WHERE n.kind = 'host'),
+addr AS (SELECT n.token, CASE kind WHEN 'ip' THEN 'ip-' || ord ELSE 'user-' || ord || '@' || host.pseudo END AS pseudo
+  FROM num n LEFT JOIN host ON kind = 'email' AND host.token = split_part(n.token, '@', 2) WHERE kind <> 'host'),
+red1 AS (SELECT doc_id, string_agg(part || coalesce(pseudo, ''), '' ORDER BY i) AS text FROM cut1 LEFT JOIN addr USING (token) GROUP BY 1),
+red2 AS (SELECT doc_id, {_marked("text")} AS text FROM red1),
+cut2 AS (SELECT doc_id, unnest(s) AS part, unnest(hl || [NULL]) AS token, unnest(x || ['']) AS x, unnest(y || ['']) AS y, unnest(range(1, len(s) + 1)) AS i
+  FROM (SELECT doc_id, hl, string_split_regex(text, '{_SIDED}') AS s, regexp_extract_all(text, '{_SIDED}', 1) AS x,
+    regexp_extract_all(text, '{_SIDED}', 3) AS y FROM red2 JOIN b USING (doc_id)))
+SELECT doc_id, replace(string_agg(part || x || coalesce(pseudo, '') || y, '' ORDER BY i), chr(1), '') AS text
+FROM cut2 LEFT JOIN host USING (token) GROUP BY 1 UNION ALL SELECT doc_id, text FROM documents WHERE text IS NULL"""
+
+
+@query("redacted_documents", _REDACTED)
 def _(spark, sf):
     """Whole texts with every address and host name replaced."""
     return redact(read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")[0]
 
 
-_ADDR = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\b|\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"
-
-
 @query("redaction_numbers", f"""
 WITH t AS (SELECT doc_id, unnest(l) AS token, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, regexp_extract_all(text, '{_ADDR}') AS l FROM documents)),
 f AS (SELECT CASE WHEN contains(token, '@') THEN 'email' ELSE 'ip' END AS kind, token, min(doc_id * 100000 + p) AS f FROM t GROUP BY ALL)

@@ -284,6 +284,29 @@ def test_redaction(spark):
     assert mapping.filter("kind = 'email'").count() == 1
 
 
+def test_redaction_against_sql(spark, monkeypatch):
+    """Sides of hosts, hosts side by side, prefixes, null and empty texts, far ids and many chunks of numbers."""
+    import random
+    duckdb = pytest.importorskip("duckdb")
+    from stackscope.operators import redact as module
+    from stackscope.plans.catalog_sources import _REDACTED
+    monkeypatch.setattr(module, "CHUNK_ROWS", 3)
+    rnd = random.Random(7)
+    bits = ["a.com", "b-c.net", "x-a.com", "_a.com", "@d.org", "me@a.com", "10.1.2.3", "1.2.3.4.com", "f.comx", "g.io.h", " ", ", ", "-", "",
+            "\n", "(", "p.q.internal", "r_s.lan", "A.com", "t.co.uk", "u.COM", "--v.de", "me@b.c", "w.com.", "y.com/z.net", "300.1.1.1"]
+    rows = [(rnd.randrange(10**12), "".join(rnd.choice(bits) + rnd.choice(["", " ", "-", "/"]) for _ in range(rnd.randrange(9))))
+            for _ in range(300)] + [(5, None), (6, "")]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    out, mapping = redact(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(r.ord for r in mapping.filter("kind = 'host'").collect()) == list(range(1, mapping.filter("kind = 'host'").count() + 1))
+    assert sorted((r.doc_id, r.text) for r in out.filter("text is not null").collect()) == sorted(
+        r for r in con.execute(_REDACTED).fetchall() if r[1] is not None)
+    assert [r.doc_id for r in out.filter("text is null").collect()] == [5]
+
+
 def test_pause_cover_against_brute_force(spark):
     import random
     rnd = random.Random(3)
