@@ -409,7 +409,61 @@ def _all_findings(spark, sf):
     return analyze(t, pauses=error_pauses(spark, sf, True)).findings
 
 
-@query("findings", None)
+#: every detector over the nodes; those that are not here (Finalizer, muxers, pollers, virtual threads, memory) meet no thread of the snapshot
+_FINDINGS = "," + VERDICTS + _MW + _HEALTH + _PAUSES + _RULES + """
+, cov AS (SELECT d.series_id, d.dump_idx, EXISTS (SELECT 1 FROM pw WHERE pw.series_id = d.series_id
+    AND CAST(d.day AS TIMESTAMP) >= pw.s - INTERVAL 2 SECOND AND CAST(d.day AS TIMESTAMP) <= pw.e + INTERVAL 2 SECOND) AS c FROM days d),
+left_over AS (SELECT * FROM judged j WHERE NOT (SELECT bool_and(c) FROM cov WHERE cov.series_id = j.series_id AND cov.dump_idx BETWEEN j.from_dump AND j.to_dump)),
+ring AS (SELECT DISTINCT series_id, dump_idx, node FROM reach WHERE node = anc),
+ring_id AS (SELECT a.series_id, a.dump_idx, a.node, min(r.anc) AS cycle_id FROM ring a JOIN reach r USING (series_id, dump_idx, node)
+  JOIN ring b ON b.series_id = a.series_id AND b.dump_idx = a.dump_idx AND b.node = r.anc GROUP BY ALL),
+mk AS (SELECT series_id, name, norm, mark FROM snap WHERE mark IN ('[STUCK] ', '[HOGGING] ') GROUP BY ALL),
+fz AS (SELECT series_id, count(*) AS frozen, bool_or(norm IN (SELECT norm FROM mk WHERE mk.series_id = l.series_id)) AS marked FROM left_over l WHERE et = 'click' GROUP BY 1),
+sock AS (SELECT series_id, max(n) AS worst FROM (SELECT series_id, dump_idx, count(*) AS n FROM snap WHERE et = 'click' GROUP BY ALL) GROUP BY 1),
+tb AS (SELECT series_id, holder, transitive, row_number() OVER (PARTITION BY series_id ORDER BY transitive DESC, dump_idx, first_ord) AS k
+  FROM direct JOIN victims USING (series_id, dump_idx, holder)),
+lp AS (SELECT series_id, ms, c, row_number() OVER (PARTITION BY series_id ORDER BY ms DESC, s, c) AS k FROM pw WHERE ms >= 1000),
+sp AS (SELECT series_id, count(*) AS n, 100.0 * sum(ms) / greatest(1, date_diff('microsecond', min(s), arg_max(e, s)) // 1000) AS pct FROM pw GROUP BY 1),
+grid AS (SELECT d.series_id, d.dump_idx, p.pool, (SELECT count(*) FROM snap s WHERE s.series_id = d.series_id AND s.dump_idx = d.dump_idx AND s.pool = p.pool) AS n
+  FROM days d JOIN (SELECT DISTINCT series_id, pool FROM snap) p USING (series_id)),
+gp AS (SELECT *, lag(n) OVER (PARTITION BY series_id, pool ORDER BY dump_idx) AS p FROM grid),
+tl AS (SELECT series_id, pool, arg_min(n, dump_idx) AS n0, arg_max(n, dump_idx) AS n1 FROM gp GROUP BY ALL
+  HAVING count(*) >= 3 AND bool_and(coalesce(n >= p, true)) AND bool_or(n > p) AND arg_max(n, dump_idx) - arg_min(n, dump_idx) >= 5),
+pu AS (SELECT series_id, pool, 100.0 * sum(busy) / sum(size) AS pct, max(size) AS mx, sum(b) AS b FROM (
+    SELECT series_id, dump_idx, pool, count(*) AS size, count(*) FILTER (cls = 'APPLICATION') AS busy, count(*) FILTER (state = 'BLOCKED') AS b FROM snap GROUP BY ALL)
+  WHERE series_id IN (SELECT series_id FROM n_dumps WHERE n >= 2) GROUP BY ALL),
+sm AS (SELECT series_id, grp, arg_max(total, busy * 1000000 + blocked * 1000 - dump_idx) AS total, arg_max(saturated, busy * 1000000 + blocked * 1000 - dump_idx) AS sat,
+    max(blocked) AS mb, min(saturated) = 1 AND count(*) >= 2 AS always FROM ph GROUP BY ALL),
+f AS (
+  SELECT series_id, 10 AS o, 'deadlock' AS id, 'CRITICAL' AS severity, 'Deadlock of ' || count(*) || ' threads' AS title, 'high' AS confidence, '' AS tie
+    FROM ring_id GROUP BY series_id, dump_idx, cycle_id
+  UNION ALL SELECT series_id, CASE mark WHEN '[STUCK] ' THEN 20 ELSE 21 END, CASE mark WHEN '[STUCK] ' THEN 'weblogic-stuck' ELSE 'weblogic-hogging' END,
+    CASE mark WHEN '[STUCK] ' THEN 'CRITICAL' ELSE 'WARNING' END, 'WebLogic marked ' || count(*) || ' thread(s) ' || trim(mark), 'high', '' FROM mk GROUP BY series_id, mark
+  UNION ALL SELECT series_id, 30, CASE kind WHEN 'NATIVE_WAIT' THEN 'idle-native-wait' ELSE 'stuck-thread' END, severity,
+    CASE kind WHEN 'NATIVE_WAIT' THEN 'Persistent native wait: ' WHEN 'SPINNING' THEN 'Spinning thread: '
+      WHEN 'BLOCKED_CHAIN' THEN 'Blocked for ' || run_length || ' dumps: ' ELSE 'Frozen for ' || run_length || ' dumps: ' END || norm, confidence, from_dump || '..' || to_dump FROM left_over
+  UNION ALL SELECT series_id, 40, 'network-hang', CASE WHEN coalesce(marked, false) OR worst >= 5 THEN 'CRITICAL' WHEN frozen IS NULL THEN 'INFO' ELSE 'WARNING' END,
+    'Threads in blocking socket reads' || CASE WHEN frozen IS NULL THEN '' ELSE ' across dumps' END, CASE WHEN frozen IS NULL THEN 'low' ELSE 'high' END, '' FROM sock LEFT JOIN fz USING (series_id)
+  UNION ALL SELECT series_id, 60, 'top-blocker', CASE WHEN transitive >= 5 THEN 'CRITICAL' ELSE 'WARNING' END, '"' || holder || '" holds up ' || transitive || ' thread(s)', 'high', ''
+    FROM tb WHERE k = 1 AND transitive >= 2
+  UNION ALL SELECT series_id, 70, 'long-gc-pause', CASE WHEN ms >= 5000 THEN 'CRITICAL' ELSE 'WARNING' END,
+    'Stop-the-world pause of ' || CAST(round(ms) AS BIGINT) || ' ms (cause ' || c || ')', 'high', '' FROM lp WHERE k = 1
+  UNION ALL SELECT series_id, 71, 'frequent-safepoints', 'WARNING', 'Application stopped ' || format('{:,.1f}', pct) || '% of the time (' || n || ' pauses)', 'high', '' FROM sp WHERE pct >= 10 AND n >= 5
+  UNION ALL SELECT series_id, 80, 'thread-leak', 'WARNING', 'Pool "' || pool || '" only grows: ' || n0 || ' to ' || n1, 'medium', '' FROM tl
+  UNION ALL SELECT series_id, 90, 'pool-sizing', 'INFO', 'Pool "' || pool || '" is ' || CAST(round(pct) AS BIGINT)
+    || CASE WHEN pct >= 90 AND b > 0 THEN '% busy with blocked work' ELSE '% busy at size ' || mx END, 'medium', '' FROM pu WHERE (pct >= 90 AND b > 0) OR (pct <= 10 AND mx >= 20)
+  UNION ALL SELECT series_id, 100, rule_id, severity, matched || CASE rule_id WHEN 'connection-pool-exhaustion' THEN ' threads queue for a pooled connection'
+    ELSE ' threads held up by a log appender''s lock' END, 'medium', '' FROM fired
+  UNION ALL SELECT series_id, CASE platform WHEN 'WEBLOGIC' THEN 120 WHEN 'TOMCAT' THEN 130 ELSE 140 END,
+    CASE platform WHEN 'WEBLOGIC' THEN 'weblogic-thread-starvation' WHEN 'TOMCAT' THEN 'tomcat-connector-exhaustion' ELSE 'websphere-webcontainer-saturation' END,
+    CASE WHEN always OR mb >= 5 THEN 'CRITICAL' ELSE 'WARNING' END, CASE platform WHEN 'WEBLOGIC' THEN 'WebLogic queue ' WHEN 'TOMCAT' THEN 'Tomcat connector ' ELSE 'WebSphere pool ' END
+      || grp || ': all ' || total || ' workers busy' || CASE WHEN always THEN ' in every dump' ELSE '' END, CASE WHEN always THEN 'high' ELSE 'medium' END, ''
+    FROM sm JOIN pf USING (series_id) WHERE sat = 1 AND total >= 8 AND grp = CASE platform WHEN 'WEBLOGIC' THEN 'q' WHEN 'TOMCAT' THEN 'http-nio-8080' ELSE 'WebContainer' END)
+SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, o, title, tie) AS rank,
+  id, severity, title, confidence FROM f"""
+
+
+@query("findings", snap(by_node=True, body=_FINDINGS))
 def _(spark, sf):
     """Every detector over ten nodes, ranked."""
     return flat(_all_findings(spark, sf), "series_id", "rank", "id", "severity", "title", "confidence")
