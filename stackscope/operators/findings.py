@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stackscope.functions.frames import any_sig_contains
 from stackscope.functions.names import is_stuck_marked
+from stackscope.functions.scan import running
 from stackscope.knowledge import BUNDLED_RULES, MIN_POOL_FOR_SATURATION, MUXER_QUEUE, SOCKET_FRAMES
 from stackscope.operators import middleware as mw
 from stackscope.operators.derive import java_threads
@@ -21,6 +22,7 @@ from stackscope.operators.rules import evaluate_rules, union_all
 from stackscope.operators.series import dump_count
 from stackscope.operators.single import count_if, pool_utilization
 from stackscope.options import Options
+from stackscope.session import store
 
 SEVERITIES = ["CRITICAL", "WARNING", "INFO"]
 DUMP = ["series_id", "dump_idx"]
@@ -442,9 +444,16 @@ def run_detectors(ctx: Context, names: list[str] | None = None) -> DataFrame:
 
 
 def rank_findings(findings: DataFrame) -> DataFrame:
-    """By severity, then detector, then title."""
-    w = Window.partitionBy("series_id").orderBy("sev_ord", "detector_ord", "title", F.to_json("evidence"))
-    return findings.withColumn("rank", F.row_number().over(w))
+    """By severity, then detector, then title.
+
+    Findings are stored in ranges of that order over all series; ranks are counted inside ranges and carried on, so a
+    series with very many findings has many tasks.
+    """
+    order = ["sev_ord", "detector_ord", "title", "_evidence"]
+    rows = store(findings.withColumn("_evidence", F.to_json("evidence")))
+    ranged = store(rows.repartitionByRange("series_id", *order).withColumn("_range", F.spark_partition_id()))
+    return running(ranged, ["series_id"], "_range", order, total={"rank": F.lit(1)}) \
+        .withColumn("rank", F.col("rank").cast("int")).drop("_range", "_evidence")
 
 
 def severity_gate(findings: DataFrame, fail_on: str = "critical") -> DataFrame:

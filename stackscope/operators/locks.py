@@ -14,6 +14,8 @@ from stackscope.knowledge import HOLD_KINDS
 from stackscope.session import cut
 
 DUMP = ["series_id", "dump_idx"]
+#: so many ordinals of a dump's threads are joined to the holder of one lock in one place
+BLOCK = 4096
 
 
 def lock_hold(t: DataFrame) -> DataFrame:
@@ -55,11 +57,22 @@ def contended_locks(t: DataFrame) -> DataFrame:
                     "holder", "holder_ord", "waiters", F.row_number().over(w).alias("rank"))
 
 
+def held_by(waits: DataFrame, holders: DataFrame) -> DataFrame:
+    """Waits (rows of a dump with ``address`` and ``thread_ord``) joined to the holders of their locks.
+
+    A lock that very many threads wait for is split into blocks of thread ordinals; its holder, one narrow row, is
+    given once to each block that has waiters, so there are never more such rows than waits.
+    """
+    lock = [*DUMP, "address"]
+    waits = waits.withColumn("_block", F.floor(F.col("thread_ord") / BLOCK))
+    given = waits.select(*lock, "_block").distinct().join(holders, lock)
+    return waits.join(given, [*lock, "_block"]).drop("_block")
+
+
 def waits_for(t: DataFrame) -> DataFrame:
     """waiter -> holder edges by name; of threads sharing a name the last wins."""
     e = F.struct("holder", "address", F.coalesce("hold_cls", F.lit("?")).alias("lock_class"))
-    return lock_wait(t).join(lock_holders(t), [*DUMP, "address"]) \
-        .filter(F.col("holder") != F.col("name")) \
+    return held_by(lock_wait(t), lock_holders(t)).filter(F.col("holder") != F.col("name")) \
         .groupBy(*DUMP, F.col("name").alias("waiter")).agg(
             F.max_by(e, "thread_ord").alias("_e"), F.min("thread_ord").alias("waiter_ord")) \
         .select(*DUMP, "waiter", "_e.holder", "_e.address", "_e.lock_class", "waiter_ord")

@@ -97,8 +97,8 @@ def axis_position(instants: DataFrame, dump: DataFrame, ts: str = "ts", margin_m
     return line.select("_row.*", pos.cast("double").alias("position"))
 
 
-def pause_bands(dump: DataFrame, pause: DataFrame, limit: int = 80) -> DataFrame:
-    """Bands to shade behind the dump axis: (series, start_ts, cause, from_pos, to_pos)."""
+def pause_bands(dump: DataFrame, pause: DataFrame, limit: int | None = 80) -> DataFrame:
+    """Bands to shade behind the dump axis: (series, start_ts, cause, from_pos, to_pos); the first ``limit`` (None: all)."""
     p = pause.withColumn("_id", F.struct("start_ts", "duration_ms", "cause", "kind"))
     length = F.greatest(F.col("duration_ms"), F.lit(500.0))
     ends = p.withColumn("_end", F.timestamp_micros(
@@ -107,7 +107,9 @@ def pause_bands(dump: DataFrame, pause: DataFrame, limit: int = 80) -> DataFrame
         "series_id", "ts", "_id", "_end"), dump).withColumnRenamed("position", "from_pos")
     b = axis_position(a, dump, ts="_end").withColumnRenamed("position", "_to")
     rows = b.filter("from_pos IS NOT NULL AND _to IS NOT NULL")
-    w = Window.partitionBy("series_id").orderBy("ts", "_id")
-    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).select(
+    if limit is not None:
+        w = Window.partitionBy("series_id").orderBy("ts", "_id")
+        rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    return rows.select(
         "series_id", F.col("ts").alias("start_ts"), "_id.duration_ms", "_id.cause", "_id.kind", "from_pos",
         F.greatest(F.col("_to"), F.col("from_pos") + 0.03).alias("to_pos"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from stackscope.functions.names import is_stuck_marked
 from stackscope.operators.derive import java_threads
-from stackscope.operators.locks import lock_holders, lock_wait
+from stackscope.operators.locks import held_by, lock_holders, lock_wait
 from stackscope.operators.single import pool_stats, recurring_stacks
 
 DUMP = ["series_id", "dump_idx"]
 OCC = ["series_id", "key"]
+HOLDER = ["series_id", "holder_key", "lock_class"]
 
 
 def dump_count(dump: DataFrame) -> DataFrame:
@@ -113,41 +114,58 @@ def stuck_candidates(occ: DataFrame, dump: DataFrame, k: int = 3, max_frames: in
     return run_candidates(stack_runs(occ, dump), occ, k, max_frames)
 
 
-def persistent_lock_holders(t: DataFrame, min_dumps: int = 2, samples: int = 5) -> DataFrame:
-    """Holders of a contended lock over consecutive dumps, by lock class.
-
-    starved_total counts the distinct waiters over all dumps of the holder and class.
-    """
+def _starved_pairs(t: DataFrame) -> DataFrame:
+    """(dump, address, waiter, holder): one row per wait for a lock that another thread holds."""
     holder_key = t.select(*DUMP, F.col("thread_ord").alias("holder_ord"), F.col("key").alias("holder_key"))
-    waits = lock_wait(t).select(*DUMP, "address", F.col("key").alias("waiter_key"), "name")
+    waits = lock_wait(t).select(*DUMP, "address", "thread_ord", F.col("key").alias("waiter_key"), "name")
     held = lock_holders(t).join(holder_key, [*DUMP, "holder_ord"]).select(
         *DUMP, "address", F.coalesce("hold_cls", F.lit("?")).alias("lock_class"), "holder", "holder_key")
-    pair = waits.join(held, [*DUMP, "address"]).filter("waiter_key <> holder_key")
-    ident = ["series_id", "holder_key", "lock_class"]
-    per_dump = pair.groupBy(*ident, "dump_idx").agg(F.count("*").alias("waiters"))
-    w = Window.partitionBy(*ident).orderBy("dump_idx")
+    return held_by(waits, held).filter("waiter_key <> holder_key").drop("thread_ord")
+
+
+def _lasting(per_dump: DataFrame, min_dumps: int) -> DataFrame:
+    """Holders with waiters in that many dumps in a row, and their longest run."""
+    w = Window.partitionBy(*HOLDER).orderBy("dump_idx")
     runs = per_dump.withColumn("_island", F.col("dump_idx") - F.row_number().over(w)) \
-        .groupBy(*ident, "_island").agg(F.count("*").alias("_len"))
-    kept = runs.groupBy(*ident).agg(F.max("_len").alias("longest_run")).filter(
-        F.col("longest_run") >= min_dumps)
-    totals = per_dump.groupBy(*ident).agg(
+        .groupBy(*HOLDER, "_island").agg(F.count("*").alias("_len"))
+    return runs.groupBy(*HOLDER).agg(F.max("_len").alias("longest_run")).filter(F.col("longest_run") >= min_dumps)
+
+
+def persistent_lock_holders(t: DataFrame, min_dumps: int = 2, samples: int = 5) -> DataFrame:
+    """Holders of a contended lock over consecutive dumps, by lock class.
+
+    starved_total counts the distinct waiters over all dumps of the holder and class; sample_waiters are the first
+    ``samples`` of their names, ``lock_holder_waiters`` has all of them.
+    """
+    pair = _starved_pairs(t)
+    per_dump = pair.groupBy(*HOLDER, "dump_idx").agg(F.count("*").alias("waiters"))
+    totals = per_dump.groupBy(*HOLDER).agg(
         F.count("*").alias("dumps"), F.max("waiters").alias("max_waiters"))
     # distinct in two steps, so one starving lock does not land in a single task
-    starved = pair.groupBy(*ident, "waiter_key").agg(F.min("name").alias("name")) \
-        .groupBy(*ident).agg(F.count("*").alias("starved_total"), F.min("name").alias("sample_waiter"))
-    name = pair.groupBy(*ident).agg(F.min_by("holder", "dump_idx").alias("holder"))
-    return kept.join(totals, ident).join(starved, ident).join(name, ident)
+    waiters = pair.groupBy(*HOLDER, "waiter_key").agg(F.min("name").alias("name"))
+    starved = waiters.groupBy(*HOLDER).agg(F.count("*").alias("starved_total"))
+    w = Window.partitionBy(*HOLDER).orderBy("name", "waiter_key")
+    shown = waiters.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= samples).groupBy(*HOLDER).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "name"))), lambda s: s["name"]).alias("sample_waiters"))
+    name = pair.groupBy(*HOLDER).agg(F.min_by("holder", "dump_idx").alias("holder"))
+    return _lasting(per_dump, min_dumps).join(totals, HOLDER).join(starved, HOLDER).join(shown, HOLDER).join(name, HOLDER)
+
+
+def lock_holder_waiters(t: DataFrame, min_dumps: int = 2) -> DataFrame:
+    """Every thread that waited for a persistent holder, with the dumps it did so in."""
+    pair = _starved_pairs(t)
+    kept = _lasting(pair.select(*HOLDER, "dump_idx").distinct(), min_dumps)
+    return pair.groupBy(*HOLDER, "waiter_key").agg(
+        F.min("name").alias("name"), F.count_distinct("dump_idx").alias("dumps"),
+        F.min("dump_idx").alias("from_dump"), F.max("dump_idx").alias("to_dump")).join(kept, HOLDER, "left_semi")
 
 
 def lock_holder_dumps(t: DataFrame) -> DataFrame:
-    """Per holder, class and dump: waiters and addresses held, for the kept holders' detail."""
-    holder_key = t.select(*DUMP, F.col("thread_ord").alias("holder_ord"), F.col("key").alias("holder_key"))
-    waits = lock_wait(t).select(*DUMP, "address", F.col("key").alias("waiter_key"))
-    held = lock_holders(t).join(holder_key, [*DUMP, "holder_ord"]).select(
-        *DUMP, "address", F.coalesce("hold_cls", F.lit("?")).alias("lock_class"), "holder_key")
-    return waits.join(held, [*DUMP, "address"]).filter("waiter_key <> holder_key") \
-        .groupBy("series_id", "holder_key", "lock_class", "dump_idx").agg(
-            F.count("*").alias("waiters"), F.count_distinct("address").alias("addresses"))
+    """Per holder, class and dump: the waiters, and the addresses (a thread's own locks) they wait for."""
+    per = _starved_pairs(t).groupBy(*HOLDER, "dump_idx", "address").agg(F.count("*").alias("_n"))
+    return per.groupBy(*HOLDER, "dump_idx").agg(
+        F.sum("_n").alias("waiters"), F.count("*").alias("addresses"),
+        F.array_sort(F.collect_list("address")).alias("address_list"))
 
 
 def pool_counts(t: DataFrame) -> DataFrame:
@@ -218,16 +236,18 @@ def flag_rows(t: DataFrame, stuck: DataFrame, holders: DataFrame, jvm_cycle: Dat
             .unionByName(rows(marked, "weblogic-stuck-marker", 3))).distinct()
 
 
-def flagged_timelines(occ: DataFrame, flags: DataFrame, limit: int = 150) -> DataFrame:
-    """Timelines of the first ``limit`` flagged threads of a series with all their flags."""
+def flagged_timelines(occ: DataFrame, flags: DataFrame, limit: int | None = 150) -> DataFrame:
+    """Timelines of the first ``limit`` flagged threads of a series (None: of all) with all their flags."""
     by_key = flags.groupBy(*OCC).agg(
         F.min("flag_ord").alias("_o"),
         F.transform(F.array_sort(F.collect_set(F.struct("flag_ord", "flag"))),
                     lambda s: s["flag"]).alias("flags"))
-    seen = occ.groupBy(*OCC).agg(F.min("dump_idx").alias("_f"))
-    w = Window.partitionBy("series_id").orderBy("_o", "_f", "key")
-    kept = by_key.join(seen, OCC).withColumn("_rn", F.row_number().over(w)).filter(
-        F.col("_rn") <= limit).select(*OCC, "flags")
+    kept = by_key
+    if limit is not None:
+        seen = occ.groupBy(*OCC).agg(F.min("dump_idx").alias("_f"))
+        w = Window.partitionBy("series_id").orderBy("_o", "_f", "key")
+        kept = by_key.join(seen, OCC).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit)
+    kept = kept.select(*OCC, "flags")
     names = key_summary(occ).select(*OCC, "display_name")
     return occ.select(*DUMP, "key", "state").join(kept, OCC).join(names, OCC)
 

@@ -143,6 +143,30 @@ def _(spark, sf):
     return flat(S.lock_holder_dumps(d), "holder_key", "lock_class", "dump_idx", "waiters", "addresses")
 
 
+@query("lock_holder_samples", snap(body="," + HOLDERS + """
+, wk AS (SELECT series_id, holder_key, lock_class, waiter_key, min(name) AS name FROM pair GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY series_id, holder_key, lock_class ORDER BY name, waiter_key) AS k FROM wk)
+SELECT holder_key, lock_class, string_agg(name, ',' ORDER BY k) AS sample_waiters FROM r JOIN runl USING (series_id, holder_key, lock_class) WHERE k <= 5 GROUP BY ALL"""))
+def _(spark, sf):
+    _t, d = snapshot(spark, sf)
+    return flat(S.persistent_lock_holders(d), "holder_key", "lock_class", sample_waiters=F.array_join("sample_waiters", ","))
+
+
+@query("lock_holder_waiters", snap(body="," + HOLDERS + """
+SELECT holder_key, lock_class, waiter_key, min(name) AS name, count(DISTINCT dump_idx) AS dumps, min(dump_idx) AS from_dump, max(dump_idx) AS to_dump
+FROM pair JOIN runl USING (series_id, holder_key, lock_class) GROUP BY ALL"""))
+def _(spark, sf):
+    _t, d = snapshot(spark, sf)
+    return flat(S.lock_holder_waiters(d), "holder_key", "lock_class", "waiter_key", "name", "dumps", "from_dump", "to_dump")
+
+
+@query("lock_holder_addresses", snap(body="," + HOLDERS + """
+SELECT p.holder_key, p.lock_class, p.dump_idx, string_agg(DISTINCT '0x00000000e000000' || right(p.lock_class, 1), ',') AS addresses FROM pair p GROUP BY ALL"""))
+def _(spark, sf):
+    _t, d = snapshot(spark, sf)
+    return flat(S.lock_holder_dumps(d), "holder_key", "lock_class", "dump_idx", addresses=F.array_join("address_list", ","))
+
+
 def order_threads(spark, sf):
     """Orders as threads: a series per priority, a dump per month, a pool per customer group."""
     k = F.col("o_orderkey")
