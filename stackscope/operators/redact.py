@@ -20,8 +20,8 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = r"\b(?:" + OCTET + r"\.){3}" + OCTET + r"\b"
 HOST = (r"(?<![\w.@])(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+(?:" + "|".join(HOST_SUFFIXES) + r")(?![\w.])")
 
-#: distinct tokens that one task numbers, and the most chunks there are
-CHUNK_ROWS, MOST_CHUNKS = 1_000_000, 1000
+#: distinct tokens that one task numbers, and how many chunks there are at least and at most
+CHUNK_ROWS, FEWEST_CHUNKS, MOST_CHUNKS = 1_000_000, 64, 1000
 
 
 def _tokens(df: DataFrame, text: str, pattern: str, stage: int) -> DataFrame:
@@ -35,8 +35,8 @@ def _number(first: DataFrame) -> DataFrame:
 
     Chunks are cut at quantiles of the ids found, so gaps in the ids or a busy range of them make no chunk large.
     """
-    n = min(MOST_CHUNKS, first.count() // CHUNK_ROWS + 1)
-    at = sorted(set(first.approxQuantile("_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    n = min(MOST_CHUNKS, max(FEWEST_CHUNKS, first.count() // CHUNK_ROWS + 1))
+    at = sorted(set(first.approxQuantile("_id", [i / n for i in range(1, n)], 0.25 / n)))
     place = F.col("_id").cast("double")
     chunk = F.size(F.filter(F.lit(at), lambda b: b <= place)) if at else F.lit(0)
     return running(first.withColumn("_chunk", chunk), ["kind"], "_chunk", ["_id", "stage", "pos"],
