@@ -6,7 +6,7 @@ from stackscope.functions import frames as fr
 from stackscope.functions import names as nm
 from stackscope.operators import single as S
 from stackscope.operators.derive import derive, frame_meaning, idle_label, java_threads
-from stackscope.operators.views import call_stack_tree, flame_threads, flame_trie, search_threads
+from stackscope.operators.views import call_stack_tree, flame_threads, flame_trie, search_threads, with_paths
 from stackscope.plans.registry import flat, query
 from stackscope.plans.snapshots import event_tables, read
 from stackscope.plans.sqlbase import snap
@@ -389,7 +389,8 @@ p AS (
   UNION ALL SELECT dump_idx, u, 3, r2 || chr(10) || r1 || chr(10) || r0, r0 FROM snap WHERE state = 'RUNNABLE')
 SELECT dump_idx, depth, replace(path, chr(10), '|') AS path, frame, count(*) AS n, min(u) AS first_ord FROM p GROUP BY ALL"""))
 def _(spark, sf):
-    return flat(flame_trie(threads(spark, sf)), "dump_idx", "depth", "frame", "n", "first_ord",
+    t = threads(spark, sf)
+    return flat(with_paths(flame_trie(t), t, path="depth"), "dump_idx", "depth", "frame", "n", "first_ord",
                 path=F.replace("path", F.lit("\n"), F.lit("|")))
 
 
@@ -400,7 +401,9 @@ p AS (
   UNION ALL SELECT dump_idx, u, name, r2 || '|' || r1 || '|' || r0 FROM snap WHERE state = 'RUNNABLE')
 SELECT * FROM (SELECT dump_idx, path, name, row_number() OVER (PARTITION BY dump_idx, path ORDER BY u) AS rank FROM p) WHERE rank <= 20"""))
 def _(spark, sf):
-    return flat(flame_threads(threads(spark, sf)), "dump_idx", "name", "rank", path=F.replace("path", F.lit("\n"), F.lit("|")))
+    t = threads(spark, sf)
+    through = flame_threads(t).withColumnRenamed("thread_ord", "first_ord")
+    return flat(with_paths(through, t, path="depth"), "dump_idx", "name", "rank", path=F.replace("path", F.lit("\n"), F.lit("|")))
 
 
 def _url_stacks(spark, sf):
@@ -419,7 +422,8 @@ p AS (SELECT page_id, d AS depth, array_to_string(l[1:d], '|') AS path, l[d] AS
   SELECT page_id, l, unnest(range(1, least(len(l), 30) + 1)) AS d FROM s))
 SELECT depth, path, frame, count(*) AS n, min(page_id) AS first_ord FROM p GROUP BY ALL""")
 def _(spark, sf):
-    return flat(flame_trie(_url_stacks(spark, sf)), "depth", "frame", "n", "first_ord", path=F.replace("path", F.lit("\n"), F.lit("|")))
+    t = _url_stacks(spark, sf)
+    return flat(with_paths(flame_trie(t), t, path="depth"), "depth", "frame", "n", "first_ord", path=F.replace("path", F.lit("\n"), F.lit("|")))
 
 
 @query("call_stack_tree", """
@@ -439,8 +443,9 @@ ends AS (SELECT head, arg_max(path, len) AS last_path, arg_max(last_frame, len)
 r AS (SELECT n.path AS head_path, e.last_path, e.last_frame, e.chain, n.n, n.depth,
     row_number() OVER (ORDER BY n.depth, n.n DESC, n.f, n.path) AS rank
   FROM ends e JOIN node n ON n.path = e.head)
-SELECT * FROM r WHERE rank <= 3000""")
+SELECT * FROM r""")
 def _(spark, sf):
     bar = lambda c: F.replace(c, F.lit("\n"), F.lit("|"))
-    t = call_stack_tree(_url_stacks(spark, sf))
-    return flat(t, "last_frame", "chain", "n", "depth", "rank", head_path=bar("head_path"), last_path=bar("last_path"))
+    t = _url_stacks(spark, sf)
+    tree = with_paths(call_stack_tree(t), t, head_path="depth", last_path="last_depth")
+    return flat(tree, "last_frame", "chain", "n", "depth", "rank", head_path=bar("head_path"), last_path=bar("last_path"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stackscope import Options
 from stackscope.knowledge import RuleEntry
 from stackscope.operators import baseline as B
-from stackscope.operators import export, findings, fleet, history, locks, quality, series, single, stuck
+from stackscope.operators import export, findings, fleet, history, locks, quality, series, single, stuck, views
 from stackscope.operators.derive import derive
 from stackscope.operators.findings import DETECTORS, Context, detector, finding, run_detectors
 from stackscope.operators.pauses import pause_covers
@@ -244,6 +244,35 @@ def test_marked_threads_are_all_listed(spark):
     assert len({r.name for r in got}) == 130 and {(r.id, r.n) for r in got} == {("weblogic-stuck", 1)}
 
 
+def test_call_trees_against_counting_by_hand(spark):
+    """Random stacks over two frames: nodes, counts, collapsed chains and ranks, without a limit."""
+    import random
+    from collections import Counter
+    rnd = random.Random(5)
+    stacks = {i: [rnd.choice("ab") for _ in range(rnd.randrange(9))] for i in range(60)}
+    stacks[60] = list("xyzxyzxyz")
+    rows = [("s", 0, i, f"t{i}", "RUNNABLE", [(f, f) for f in reversed(p)]) for i, p in stacks.items()]
+    t = spark.createDataFrame(rows, "series_id string, dump_idx int, thread_ord int, name string, state string, "
+                                    "frames array<struct<raw: string, sig: string>>")
+    n = Counter("\n".join(p[:d]) for p in stacks.values() for d in range(1, min(len(p), 8) + 1))
+    got = views.with_paths(views.flame_trie(t, 8), t, path="depth").collect()
+    assert {r.path: r.n for r in got} == n and len(got) == len(n)
+    kids = {p: [c for c in n if c.rpartition("\n")[0] == p and c != p] for p in n}
+    swallowed = {c[0] for p, c in kids.items() if len(c) == 1 and n[c[0]] == n[p]}
+    want = {}
+    for head in n.keys() - swallowed:
+        last, size = head, 1
+        while len(kids[last]) == 1 and kids[last][0] in swallowed:
+            last, size = kids[last][0], size + 1
+        want[head] = (last, size, n[head])
+    tree = views.with_paths(views.call_stack_tree(t, 8), t, head="depth", last="last_depth").collect()
+    assert {r["head"]: (r["last"], r["chain"], r["n"]) for r in tree} == want
+    order = sorted(tree, key=lambda r: (r["depth"], -r["n"], r["first_ord"]))
+    assert [r["rank"] for r in order] == list(range(1, len(want) + 1))
+    assert views.call_stack_tree(t, 8, max_nodes=3).count() == 3
+    assert views.call_stack_tree(t.limit(0), 8).count() == 0
+
+
 def test_history_and_baseline_files(spark, tmp_path):
     path = str(tmp_path / "h")
     a = spark.createDataFrame([("i1", "2024-03-01 10:00:00", "rel-1", '{"n":1}', "b1"), ("i2", "2024-03-02 10:00:00", "rel-2", "pool", None)],
