@@ -82,6 +82,77 @@ def _(spark, sf):
     return flat(r, "series_id", "rule_id", "severity", "dump_idx", "matched")
 
 
+def _rule_table(spark, sf):
+    """A rule for every user (by name), every nation (by frame) and every region (by state)."""
+    u, n, g = (F.col(c) for c in ("user_id", "n_nationkey", "r_regionkey"))
+    none = F.array().cast("array<string>")
+    num = u.cast("string")
+
+    def rows(df, kind, k, frames, name, states, persist):
+        return df.select(
+            F.concat(F.lit(kind), k.cast("string")).alias("rule_id"), F.lit("{count} threads").alias("title"), F.lit("warning").alias("severity"),
+            F.lit(None).cast("int").alias("warn_threads"), F.lit(None).cast("int").alias("critical_threads"), F.lit("look").alias("recommendation"),
+            frames.alias("frames"), name.cast("string").alias("name_regex"), states.alias("states"), F.lit(None).cast("int").alias("min_threads"),
+            persist.cast("int").alias("persist_dumps"), F.lit(None).cast("string").alias("cpu_delta"))
+
+    by_name = rows(
+        read(spark, sf, "events").select("user_id").distinct(), "u", u,
+        F.when(u % 4 == 3, F.array(F.lit("Checkout"), F.lit("Trail"))).otherwise(none),
+        F.when(u % 4 == 0, F.concat(F.lit("http-nio-8080-exec-"), num, F.lit(r"\d*")))
+        .when(u % 4 == 1, F.concat(F.lit("pool-7-thread-"), num))
+        .when(u % 4 == 2, F.concat(F.lit(r"\[STUCK\] ExecuteThread: '"), num, F.lit("' for queue: 'q'")))
+        .otherwise(F.concat(F.lit("WebContainer : "), num)),
+        F.when(u % 5 == 0, F.array(F.lit("runnable"))).otherwise(none), F.when(u % 7 == 0, 2))
+    part = (n % 3).cast("string")
+    by_frame = rows(
+        read(spark, sf, "nation"), "n", n,
+        F.array(F.when(n % 4 == 0, F.concat(F.lit("web.Page"), part, F.lit(".ren"))).when(n % 4 == 1, F.concat(F.lit("Checkout"), part))
+                .when(n % 4 == 2, F.lit("callAppenders")).otherwise(F.concat(F.lit("absent"), part))),
+        F.lit(None), F.when(n % 3 == 0, F.array(F.lit("RUNNABLE"))), F.lit(None))
+    by_state = rows(read(spark, sf, "region"), "r", g, none, F.lit(None),
+                    F.array(F.when(g % 2 == 1, F.lit("BLOCKED")).otherwise(F.lit("WAITING"))), F.lit(None))
+    return by_name.unionByName(by_frame).unionByName(by_state)
+
+
+_TABLE_RULES = """
+, users AS (SELECT DISTINCT user_id AS k FROM events),
+m AS (
+  SELECT s.*, 'u' || CAST(k AS VARCHAR) AS rule_id, CASE WHEN k % 4 = 3 THEN CASE et WHEN 'purchase' THEN r0 ELSE r1 END END AS frame
+  FROM snap s JOIN users ON u = k
+  WHERE CASE k % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN et = 'error' ELSE et IN ('purchase', 'error') END AND (k % 5 <> 0 OR state = 'RUNNABLE')
+  UNION ALL
+  SELECT s.*, 'u' || CAST(k AS VARCHAR), NULL FROM snap s JOIN users ON u % 4 = 0 AND k % 4 = 0 AND u > k
+    AND starts_with(CAST(u AS VARCHAR), CAST(k AS VARCHAR)) WHERE k % 5 <> 0 OR state = 'RUNNABLE'
+  UNION ALL
+  SELECT s.*, 'n' || CAST(n_nationkey AS VARCHAR), CASE n_nationkey % 4 WHEN 0 THEN r1 ELSE r0 END FROM snap s JOIN nation ON
+    CASE n_nationkey % 4 WHEN 0 THEN et = 'click' AND u % 3 = n_nationkey % 3 WHEN 1 THEN et = 'purchase' AND u % 3 = n_nationkey % 3
+      WHEN 2 THEN et = 'error' ELSE false END WHERE n_nationkey % 3 <> 0 OR state = 'RUNNABLE'
+  UNION ALL
+  SELECT s.*, 'r' || CAST(r_regionkey AS VARCHAR), NULL FROM snap s JOIN region ON state = CASE WHEN r_regionkey % 2 = 1 THEN 'BLOCKED' ELSE 'WAITING' END)
+"""
+
+
+@query("rule_table_matches", snap(by_node=True, body=_TABLE_RULES + "SELECT series_id, dump_idx, name, rule_id, frame FROM m"))
+def _(spark, sf):
+    _t, d = snapshot(spark, sf, True)
+    return flat(R.rule_table_matches(d, _rule_table(spark, sf)), "series_id", "dump_idx", "name", "rule_id", "frame")
+
+
+@query("rule_table_fired", snap(by_node=True, body=_TABLE_RULES + """
+, rd AS (SELECT series_id, rule_id, dump_idx, count(*) AS n FROM m GROUP BY ALL),
+rw AS (SELECT series_id, rule_id, arg_max(dump_idx, n * 100000 - dump_idx) AS dump_idx, max(n) AS matched FROM rd GROUP BY ALL),
+isl AS (SELECT series_id, rule_id, key, dump_idx - row_number() OVER (PARTITION BY series_id, rule_id, key ORDER BY dump_idx) AS i FROM m),
+kept AS (SELECT DISTINCT series_id, rule_id FROM (SELECT series_id, rule_id, key, i FROM isl GROUP BY ALL HAVING count(*) >= 2))
+SELECT series_id, rule_id, 'WARNING' AS severity, dump_idx, matched, CAST(matched AS VARCHAR) || ' threads' AS title,
+  CASE WHEN needs THEN 'high' ELSE 'medium' END AS confidence
+FROM (SELECT *, rule_id[1] = 'u' AND CASE WHEN rule_id[1] = 'u' THEN CAST(rule_id[2:] AS BIGINT) % 7 = 0 ELSE false END AS needs FROM rw)
+WHERE NOT needs OR (series_id, rule_id) IN (SELECT (series_id, rule_id) FROM kept)"""))
+def _(spark, sf):
+    t, d = snapshot(spark, sf, True)
+    r = R.evaluate_rules(d, t.dump, S.series_index(d), _rule_table(spark, sf))
+    return flat(r, "series_id", "rule_id", "severity", "dump_idx", "matched", "title", "confidence")
+
+
 _MW = """
 , sc AS (SELECT series_id, 'WEBLOGIC' AS platform, 0 AS o, 5 AS w, count(*) AS hits FROM snap WHERE u % 4 = 2 GROUP BY 1
   UNION ALL SELECT series_id, 'WEBSPHERE', 1, 5, count(*) FROM snap WHERE u % 4 = 3 GROUP BY 1

@@ -10,9 +10,11 @@ from stackscope.operators.derive import derive
 from stackscope.operators.findings import DETECTORS, Context, detector, finding, run_detectors
 from stackscope.operators.pauses import pause_covers
 from stackscope.operators.redact import redact
+from stackscope.operators import rules as R
 from stackscope.operators.rules import evaluate_rules
 from stackscope.plans.analyze import analyze, release_drift
 from stackscope.session import store
+from stackscope.sources import kb
 from stackscope.sources.hotspot import parse_hotspot
 from stackscope.sources.tables import Tables
 
@@ -244,6 +246,52 @@ def test_marked_threads_are_all_listed(spark):
     assert len({r.name for r in got}) == 130 and {(r.id, r.n) for r in got} == {("weblogic-stuck", 1)}
 
 
+def _rule_threads(spark, n):
+    import random
+    rnd = random.Random(n)
+    sig = lambda: "com." + "".join(rnd.choice("abÄ.") for _ in range(rnd.randrange(12)))
+    rows = [("s", i % 3, i, rnd.choice(["", "a.b-1", "ab-12", "[X] ab", "worker(1)", "aab", f"ab-{i}"]), f"k{i}",
+             rnd.choice(["RUNNABLE", "BLOCKED", "WAITING"]), [(x, x + "(Y)") for x in (sig() for _ in range(rnd.randrange(5)))],
+             i % 17 == 0) for i in range(n)]
+    return spark.createDataFrame(rows, "series_id string, dump_idx int, thread_ord int, name string, key string, state string, "
+                                       "frames array<struct<sig: string, raw: string>>, is_vm boolean")
+
+
+def test_rules_of_a_table_match_as_entries_do(spark):
+    """Patterns with and without a literal start, escapes, quantifiers, alternatives, short, long and empty needles."""
+    t = _rule_threads(spark, 150)
+    patterns = [None, None, "a.b-1", r"a\.b-1", "ab-1?2", "a*b.*", "ab|a.b-1", "(?i)AB-12", r"\[X\] ab", r"worker\(\d\)", "a{2}b", "ab-\\d+", ""]
+    needles = [(), (), ("a",), ("ab", "Ä"), ("com.",), ("",), ("bb.a",), ("nowhere in any frame of them",), ("b", "b"), ("com.a", "..")]
+    states = [(), (), ("RUNNABLE",), ("BLOCKED", "WAITING")]
+    entries = tuple(RuleEntry(f"{i}.{j}.{k}", "t", "INFO", "r", frames=f, name_regex=p, states=st)
+                    for i, p in enumerate(patterns) for j, f in enumerate(needles) for k, st in enumerate(states))
+    rows = lambda df: sorted((r.thread_ord, r.rule_id, r.frame or "") for r in df.collect())
+    want = []
+    for i in range(0, len(entries), 130):
+        want += rows(R.rule_matches(t, entries[i:i + 130]))
+    got = rows(R.rule_table_matches(t, kb.rule_table(spark, entries)))
+    assert got == sorted(want) and len(got) > 1000
+    assert R.rule_table_matches(t.limit(0), kb.rule_table(spark, entries[:9])).count() == 0
+    assert R.rule_table_matches(t, kb.rule_table(spark, ())).count() == 0
+
+
+def test_fifty_thousand_rules(spark):
+    t = _rule_threads(spark, 60)
+    many = spark.range(50_000).select(
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), F.lit("t").alias("title"), F.lit("INFO").alias("severity"),
+        F.lit(None).cast("int").alias("warn_threads"), F.lit(None).cast("int").alias("critical_threads"), F.lit("r").alias("recommendation"),
+        F.when(F.col("id") % 2 == 0, F.array(F.concat(F.lit("com.shop.Order"), F.col("id").cast("string")))).alias("frames"),
+        F.when(F.col("id") % 2 == 1, F.concat(F.lit("ab-"), F.col("id").cast("string"))).alias("name_regex"),
+        F.array().cast("array<string>").alias("states"), F.lit(1).alias("min_threads"), F.lit(None).cast("int").alias("persist_dumps"),
+        F.lit(None).cast("string").alias("cpu_delta"))
+    names = [r.name for r in t.filter("NOT is_vm").collect()]
+    want = sorted(f"r{n[3:]}" for n in names if n.startswith("ab-") and int(n[3:]) % 2 == 1)
+    assert sorted(r.rule_id for r in R.rule_table_matches(t, many).collect()) == want and want
+    open_ones = many.filter("rule_id < 'r2'").withColumn("frames", F.lit(None).cast("array<string>")).withColumn("name_regex", F.lit(".*x"))
+    with pytest.raises(ValueError):
+        R.rule_table_matches(t, open_ones)
+
+
 def test_call_trees_against_counting_by_hand(spark):
     """Random stacks over two frames: nodes, counts, collapsed chains and ranks, without a limit."""
     import random
