@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stackscope.operators.findings import SEVERITIES
+from stackscope.operators.single import recurring_stacks
+from stackscope.session import store
+
 SIMILARITY = 0.3
 
 ANALYSIS = T.StructType([
@@ -21,15 +29,66 @@ STACK = T.StructType([
 ])
 
 
-def record(analysis: DataFrame, stacks: DataFrame, path: str) -> None:
-    """Append analyses (id, ts, label, summary, baseline) and their (analysis_id, hash) rows."""
-    stacks.select("analysis_id", "hash").distinct().write.mode("append").parquet(f"{path}/stack")
-    analysis.select(*ANALYSIS.names).write.mode("append").parquet(f"{path}/analysis")
+def record(analysis: DataFrame, stacks: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add analyses (id, ts, label, summary, baseline) and their (analysis_id, hash) rows as one run.
+
+    A run has folders of its own, so recording it again replaces it. Its analyses are written last: stacks
+    of a run that broke off belong to no analysis, and no operator shows them.
+    """
+    run = f"run={quote(run_id or uuid.uuid4().hex, safe='')}"
+    stacks.select("analysis_id", "hash").distinct().write.mode("overwrite").parquet(f"{path}/stack/{run}")
+    analysis.select(*ANALYSIS.names).write.mode("overwrite").parquet(f"{path}/analysis/{run}")
 
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return (spark.read.schema(ANALYSIS).parquet(f"{path}/analysis"),
-            spark.read.schema(STACK).parquet(f"{path}/stack"))
+    """All recorded analyses and stacks; a history that does not exist yet is empty."""
+    def part(name, schema):
+        try:
+            return spark.read.schema(schema).parquet(f"{path}/{name}").select(*schema.names)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+    return part("analysis", ANALYSIS), part("stack", STACK)
+
+
+def analysis_rows(thread: DataFrame, dump: DataFrame, ranked: DataFrame, run_id: str, label: str | None = None,
+                  baseline: DataFrame | None = None, at=None, top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What is remembered of a run: one analysis for each series, and its recurring stacks.
+
+    The summary counts findings by severity and dumps, and names the first findings.
+    baseline: (series_id, baseline) documents, if the run has any.
+    """
+    id_ = F.concat(F.lit(f"{run_id}/"), F.col("series_id"))
+    counts = ranked.groupBy("series_id").agg(*[F.count(F.when(F.col("severity") == s, 1)).alias(s.lower()) for s in SEVERITIES])
+    first = ranked.filter(F.col("rank") <= top).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "rank", F.concat("severity", F.lit(": "), "title").alias("text")))), lambda x: x["text"]).alias("_top"))
+    df = dump.groupBy("series_id").agg(F.count("*").alias("_dumps")).join(counts, "series_id", "left").join(first, "series_id", "left")
+    df = df.join(baseline, "series_id", "left") if baseline is not None else df.withColumn("baseline", F.lit(None).cast("string"))
+    none = F.array().cast("array<string>")
+    summary = F.to_json(F.struct(
+        F.struct(*[F.coalesce(s.lower(), F.lit(0)).alias(s) for s in SEVERITIES]).alias("severities"),
+        F.coalesce("_top", none).alias("topFindings"), F.col("_dumps").alias("dumps")))
+    ts = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    stacks = recurring_stacks(thread).select(id_.alias("analysis_id"), F.col("stack_hash").alias("hash")).distinct()
+    return df.select(id_.alias("id"), ts.alias("ts"), F.lit(label).cast("string").alias("label"), summary.alias("summary"), "baseline"), stacks
+
+
+def remember(path: str, run_id: str, thread: DataFrame, dump: DataFrame, ranked: DataFrame, label: str | None = None,
+             baseline: DataFrame | None = None, at=None) -> DataFrame:
+    """Record a run, and return what is similar to it in the history before it.
+
+    Asked before anything is written, and without the run's own earlier rows, so that neither a first
+    attempt nor a repeated one meets itself.
+    """
+    analysis, stacks = analysis_rows(thread, dump, ranked, run_id, label, baseline, at)
+    stacks = store(stacks)
+    old, old_stacks = read_history(thread.sparkSession, path)
+    mine = lambda c: F.startswith(F.col(c), F.lit(f"{run_id}/"))
+    similar = store(similar_incidents(old.filter(~mine("id")), old_stacks.filter(~mine("analysis_id")), stacks.select(
+        F.col("analysis_id").alias("query_id"), "hash")))
+    record(analysis, stacks, path, run_id)
+    return similar
 
 
 def similar_incidents(analysis: DataFrame, stacks: DataFrame, query: DataFrame,

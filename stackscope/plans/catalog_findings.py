@@ -1,10 +1,13 @@
 """Queries on rules, detectors, middleware and pauses."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stackscope.functions.names import queue_of
 from stackscope.knowledge import BUNDLED_RULES, RuleEntry
 from stackscope.operators import findings as D
+from stackscope.operators import history as H
 from stackscope.operators import locks as L
 from stackscope.operators import middleware as M
 from stackscope.operators import pauses as P
@@ -16,6 +19,7 @@ from stackscope.plans.catalog_series import VERDICTS, order_threads, snapshot, v
 from stackscope.plans.registry import flat, query
 from stackscope.plans.snapshots import error_pauses, event_tables, read
 from stackscope.plans.sqlbase import snap
+from stackscope.session import shared_dir, store
 
 _RULES = """
 , rm AS (
@@ -561,6 +565,47 @@ def _(spark, sf):
     return flat(_rule_findings(spark, sf), "series_id", "rank", "id", "severity", "title")
 
 
+_REMEMBERED = _RANKED + """
+, half AS (SELECT *, CASE WHEN dump_idx < 5 THEN 'early' ELSE 'late' END AS run FROM snap),
+st AS (SELECT DISTINCT run || '/' || series_id AS id, h FROM (SELECT run, series_id, dump_idx, h FROM half GROUP BY ALL HAVING count(*) >= 2)),
+an AS (SELECT run || '/' || series_id AS id, run, series_id, count(DISTINCT dump_idx) AS n FROM half GROUP BY ALL)
+"""
+
+
+def _remembered(spark, sf):
+    """The early and the late dumps as two runs; the late one is recorded twice, as after a retry."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    t, d = snapshot(spark, sf, True)
+    d, ranked = store(d), store(_rule_findings(spark, sf))
+    H.remember(path, "early", d.filter("dump_idx < 5"), t.dump.filter("dump_idx < 5"), ranked, "one", at="2024-03-01 10:00:00")
+    for _ in range(2):
+        similar = H.remember(path, "late", d.filter("dump_idx >= 5"), t.dump.filter("dump_idx >= 5"), ranked, "two", at="2024-03-02 10:00:00")
+    return H.read_history(spark, path), similar
+
+
+@query("history_recorded", snap(by_node=True, body=_REMEMBERED + """
+SELECT id, CASE run WHEN 'early' THEN 'one' ELSE 'two' END AS label, n AS dumps, (SELECT count(*) FROM st WHERE st.id = an.id) AS stacks,
+  (SELECT count(*) FROM r WHERE r.series_id = an.series_id AND severity = 'CRITICAL') AS critical,
+  (SELECT count(*) FROM r WHERE r.series_id = an.series_id AND severity = 'WARNING') AS warning,
+  coalesce((SELECT '["' || string_agg(severity || ': ' || title, '","' ORDER BY rank) || '"]' FROM r WHERE r.series_id = an.series_id AND rank <= 10), '[]') AS top
+FROM an"""))
+def _(spark, sf):
+    (analysis, stacks), _similar = _remembered(spark, sf)
+    n = stacks.groupBy(F.col("analysis_id").alias("id")).agg(F.count("*").alias("stacks"))
+    part = lambda p: F.get_json_object("summary", p)
+    return flat(analysis.join(n, "id", "left"), "id", "label", dumps=part("$.dumps").cast("long"), stacks=F.coalesce("stacks", F.lit(0)),
+                critical=part("$.severities.CRITICAL").cast("long"), warning=part("$.severities.WARNING").cast("long"), top=part("$.topFindings"))
+
+
+@query("remembered_incidents", snap(by_node=True, body=_REMEMBERED + """
+, c AS (SELECT id, count(*) AS n FROM st GROUP BY id),
+sh AS (SELECT q.id AS query_id, p.id AS analysis_id, count(*) AS shared FROM st q JOIN st p ON p.h = q.h AND starts_with(q.id, 'late') AND starts_with(p.id, 'early') GROUP BY ALL)
+SELECT query_id, analysis_id, shared, round(shared / (a.n + b.n - shared), 3) AS overlap FROM sh JOIN c a ON a.id = query_id JOIN c b ON b.id = analysis_id
+WHERE shared / (a.n + b.n - shared) >= 0.3"""))
+def _(spark, sf):
+    return flat(_remembered(spark, sf)[1], "query_id", "analysis_id", "shared", "overlap")
+
+
 @query("severity_gate", snap(by_node=True, body=_RANKED + """
 SELECT series_id, count(*) FILTER (severity = 'CRITICAL') AS hits, CAST(count(*) FILTER (severity = 'CRITICAL') > 0 AS BIGINT) AS failed FROM r GROUP BY 1"""))
 def _(spark, sf):

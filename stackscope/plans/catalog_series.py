@@ -1,5 +1,7 @@
 """Queries across dumps."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,15 +12,18 @@ from stackscope.operators import fleet as FL
 from stackscope.operators import locks as L
 from stackscope.operators import quality as Q
 from stackscope.operators import series as S
+from stackscope.operators import single
 from stackscope.operators import stuck as K
 from stackscope.operators.derive import derive
+from stackscope.operators.export import write_results
+from stackscope.plans.analyze import release_drift
 from stackscope.plans.catalog_locks import CLOSURE
 from stackscope.plans.registry import flat, query
 from stackscope.plans.snapshots import event_tables, read
 from stackscope.plans.sqlbase import snap
-from stackscope.session import store
+from stackscope.session import shared_dir, store
 from stackscope.sources.series import order_series
-from stackscope.sources.tables import conform
+from stackscope.sources.tables import Tables, conform
 
 
 def snapshot(spark, sf, by_node=False):
@@ -280,12 +285,15 @@ def _halves(spark, sf):
     return t, d.filter("dump_idx >= 15"), t.dump.filter("dump_idx >= 15"), before
 
 
-@query("baseline_state_shifts", snap(by_node=True, body="""
+_SHIFTS = """
 , x AS (SELECT series_id, state, dump_idx >= 15 AS late, count(*) AS n FROM snap GROUP BY ALL),
 p AS (SELECT series_id, state, late, round(100.0 * n / sum(n) OVER (PARTITION BY series_id, late), 2) AS pct FROM x)
 SELECT series_id, state, coalesce(max(pct) FILTER (NOT late), 0) AS baseline_percent, coalesce(max(pct) FILTER (late), 0) AS incident_percent,
   round(coalesce(max(pct) FILTER (late), 0) - coalesce(max(pct) FILTER (NOT late), 0), 2) AS delta_points
-FROM p GROUP BY series_id, state"""))
+FROM p GROUP BY series_id, state"""
+
+
+@query("baseline_state_shifts", snap(by_node=True, body=_SHIFTS))
 def _(spark, sf):
     _t, late, dump, before = _halves(spark, sf)
     return flat(B.state_shifts(B.build(late, dump).state, before.state), "series_id", "state", "baseline_percent",
@@ -304,6 +312,51 @@ def _(spark, sf):
     return flat(B.pool_deltas(B.build(late, dump).pool, before.pool), "series_id", "pool", "baseline_avg", "incident_avg", "delta")
 
 
+@query("release_drift", snap(by_node=True, body=_SHIFTS))
+def _(spark, sf):
+    """The healthy half goes through a stored baseline; the other half is compared as a release is."""
+    path = f"{shared_dir(spark)}/baseline-{uuid.uuid4().hex}"
+    t, _late, dump, before = _halves(spark, sf)
+    B.save(before, path)
+    late = Tables(dump, t.thread.filter("dump_idx >= 15"), t.jvm_cycle, t.parse_issue)
+    return flat(release_drift(late, B.load(spark, path))["state_shifts"], "series_id", "state", "baseline_percent", "incident_percent", "delta_points")
+
+
+@query("results_as_json", snap(by_node=True, body="""
+, c AS (SELECT series_id, dump_idx, state, count(*) AS n FROM snap GROUP BY ALL)
+SELECT 'counts' AS tab, series_id, dump_idx, state, n FROM c
+UNION ALL SELECT 'sizes', series_id, dump_idx, NULL, sum(n)::BIGINT FROM c GROUP BY series_id, dump_idx"""))
+def _(spark, sf):
+    """Result tables written as JSON, one dataset each and a folder for each series, and read again."""
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    _t, d = snapshot(spark, sf, True)
+    write_results({"counts": single.state_counts(d), "sizes": single.state_distribution(d)}, path, "json")
+    back = lambda name, cols: spark.read.schema(cols + ", series_id string").json(f"{path}/{name}")
+    counts = back("counts", "dump_idx long, state string, n long").withColumn("tab", F.lit("counts"))
+    sizes = back("sizes", "dump_idx long, total long").select(
+        "dump_idx", F.lit(None).cast("string").alias("state"), F.col("total").alias("n"), "series_id", F.lit("sizes").alias("tab"))
+    return flat(counts.unionByName(sizes), "tab", "series_id", "dump_idx", "state", "n")
+
+
+@query("quality_of_orders", """
+WITH d AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS ts FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY ts, k) AS i, row_number() OVER (PARTITION BY c ORDER BY k) AS j, count(*) OVER (PARTITION BY c) AS n,
+  date_diff('second', lag(ts) OVER (PARTITION BY c ORDER BY ts, k), ts) AS gap FROM d)
+SELECT CAST(c AS VARCHAR) AS series_id, 'single-dump' AS code, 'WARNING' AS level, 1 AS notes FROM r WHERE n = 1
+UNION ALL SELECT CAST(c AS VARCHAR), 'out-of-order', 'INFO', 1 FROM r GROUP BY c HAVING bool_or(i <> j)
+UNION ALL SELECT CAST(c AS VARCHAR), 'gap', 'WARNING', count(*) FROM r WHERE gap > 60 GROUP BY c
+UNION ALL SELECT CAST(c AS VARCHAR), 'no-synchronizers', 'WARNING', 1 FROM d GROUP BY c HAVING bool_and(c % 3 = 0)
+UNION ALL SELECT CAST(c AS VARCHAR), 'mixed-jvms', 'WARNING', 1 FROM d GROUP BY c HAVING count(DISTINCT k % 2) > 1""")
+def _(spark, sf):
+    """Orders of a customer as a series given in the order of keys: lone dumps, wrong order, gaps, mixed banners."""
+    d = read(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("series_id"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("ts"),
+        F.concat(F.lit("VM "), (F.col("o_orderkey") % 2).cast("string")).alias("banner"), (F.col("o_custkey") % 3 != 0).alias("saw_sync"))
+    empty = spark.createDataFrame([], "series_id string, key string, dump_idx int, elapsed_s double")
+    notes = Q.quality_notes(store(order_series(d, ["k"])), empty, spark.createDataFrame([], schema.PARSE_ISSUE))
+    return flat(notes.groupBy("series_id", "code", "level").agg(F.count("*").alias("notes")), "series_id", "code", "level", "notes")
+
+
 @query("new_recurring_stacks", snap(by_node=True, body="," + _TOP + """
 SELECT series_id, h AS stack_hash, max(n) AS max_count, count(*) AS dumps, min(dump_idx) AS first_dump, arg_min(top_frame, dump_idx) AS top_frame
 FROM g WHERE dump_idx >= 5 AND (series_id, h) NOT IN (SELECT (series_id, h) FROM g WHERE dump_idx < 5) GROUP BY series_id, h"""))

@@ -327,8 +327,11 @@ def test_history_and_baseline_files(spark, tmp_path):
                               "id string, t string, label string, summary string, baseline string").withColumn("ts", F.to_timestamp("t"))
     s = spark.createDataFrame([("i1", h) for h in "abcd"] + [("i2", h) for h in "xy"], "analysis_id string, hash string")
     history.record(a.filter("id = 'i1'"), s.filter("analysis_id = 'i1'"), path)
-    history.record(a.filter("id = 'i2'"), s.filter("analysis_id = 'i2'"), path)
+    for _ in range(2):  # a run that is recorded again is there once
+        history.record(a.filter("id = 'i2'"), s.filter("analysis_id = 'i2'"), path, "run/2")
     an, st = history.read_history(spark, path)
+    assert (an.count(), st.count()) == (2, 6)
+    assert [x.count() for x in history.read_history(spark, path + "-none")] == [0, 0]
     q = spark.createDataFrame([("q", h) for h in "abce"], "query_id string, hash string")
     r = history.similar_incidents(an, st, q).collect()
     assert [(x.analysis_id, x.overlap) for x in r] == [("i1", 0.6)]
