@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackscope.functions.scan import running
 from stackscope.knowledge import FRAME_MEANINGS
 from stackscope.operators.derive import frame_meaning
-from stackscope.session import cut
+from stackscope.session import cut, store
 
 DUMP = ["series_id", "dump_idx"]
 
@@ -96,15 +97,13 @@ def call_stack_tree(t: DataFrame, max_depth: int = 40, max_nodes: int | None = N
                         F.col("frame").alias("last_frame"))
     heads = spans.join(nodes.select(*DUMP, "id", "frame"), [*DUMP, "id"]).join(last, [*DUMP, "first_ord", "n", "last_depth"])
     frames = F.array(F.struct(F.col("last_frame").alias("sig")))
-    # ranked inside a level; the sizes of the levels above are one row for each level
-    sizes = spans.groupBy(*DUMP, "depth").agg(F.count("*").alias("_size"))
-    above = Window.partitionBy(*DUMP).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*DUMP, "depth", F.coalesce(F.sum("_size").over(above), F.lit(0)).alias("_before"))
-    w = Window.partitionBy(*DUMP, "depth").orderBy(F.desc("n"), "first_ord")
-    out = heads.withColumn("_place", F.row_number().over(w)).join(before, [*DUMP, "depth"]).select(
+    # one dump, or one level of it, may hold most nodes: ranks are counted inside ranges of their order and carried on
+    order = [*DUMP, "depth", "_rare", "first_ord"]
+    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = store(heads.withColumn("_rare", -F.col("n")).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    out = running(ranged, DUMP, "_range", order[2:], total={"rank": F.lit(1)}).select(
         *DUMP, "id", "last_id", "frame", "last_frame", (F.col("last_depth") - F.col("depth") + 1).alias("chain"), "n", "depth",
-        "last_depth", "first_ord", frame_meaning(frames, meanings)["category"].alias("category"),
-        (F.col("_before") + F.col("_place")).alias("rank"))
+        "last_depth", "first_ord", frame_meaning(frames, meanings)["category"].alias("category"), F.col("rank").cast("int").alias("rank"))
     return out if max_nodes is None else out.filter(F.col("rank") <= max_nodes)
 
 
