@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stackscope.functions.text import contains_any, starts_with_any, strip
+from stackscope.functions.text import bind, contains_any, starts_with_any, strip
 from stackscope.knowledge import PLATFORM_PREFIXES
 
 FRAME_LINE = r"^\s*at\s+([^(]+)\(([^)]*)\)\s*(~\[.*)?$"
@@ -29,35 +29,40 @@ def frame_location(line: Column) -> Column:
 
 def frame_of(sig: Column, loc: Column) -> Column:
     """Frame struct of a signature and a location (best passed as plain columns)."""
-    head = F.regexp_extract(sig, r"^(.+)\.[^.]*$", 1)
-    dotted = head != ""
-    cls_name = F.when(dotted, head).otherwise(sig)
-    method_name = F.when(dotted, F.substring_index(sig, ".", -1)).otherwise(F.lit(""))
-    return F.struct(
-        F.concat(sig, F.lit("("), loc, F.lit(")")).alias("raw"),
-        cls_name.alias("cls"),
-        method_name.alias("method"),
-        strip(loc).alias("loc"),
-        F.when(dotted, sig).otherwise(F.concat(sig, F.lit("."))).alias("sig"),
-        (strip(loc) == "Native Method").alias("native"),
-    )
+    def build(head: Column) -> Column:
+        dotted = head != ""
+        cls_name = F.when(dotted, head).otherwise(sig)
+        method_name = F.when(dotted, F.substring_index(sig, ".", -1)).otherwise(F.lit(""))
+        return F.struct(
+            F.concat(sig, F.lit("("), loc, F.lit(")")).alias("raw"),
+            cls_name.alias("cls"),
+            method_name.alias("method"),
+            strip(loc).alias("loc"),
+            F.when(dotted, sig).otherwise(F.concat(sig, F.lit("."))).alias("sig"),
+            (strip(loc) == "Native Method").alias("native"),
+        )
+
+    return bind(F.regexp_extract(sig, r"^(.+)\.[^.]*$", 1), build)
 
 
 def parse_frame(line: Column) -> Column:
     """One ``at sig(loc)`` line as a frame struct; null when the line is no frame."""
-    return F.when(is_frame_line(line), frame_of(frame_signature(line), frame_location(line)))
+    return bind(line, lambda l: F.when(is_frame_line(l), bind(
+        F.struct(frame_signature(l).alias("sig"), frame_location(l).alias("loc")), lambda p: frame_of(p["sig"], p["loc"]))))
 
 
 def normalize_j9_frame(frame: Column) -> Column:
     """``at a/b/C.m(C.java:1(Compiled Code))`` to ``at a.b.C.m(C.java:1)``."""
-    text = strip(frame)
-    sig = F.translate(F.substring_index(text, "(", 1), "/", ".")
-    inside = F.regexp_extract(text, r"^[^(]*\((.*?)(?:\)[^)]*)?$", 1)
-    loc = strip(F.replace(F.replace(inside, F.lit("(Compiled Code)"), F.lit("")),
-                           F.lit("(JIT Compiled Code)"), F.lit("")))
-    loc = F.when(F.instr(loc, "(") > 1, strip(F.substring_index(loc, "(", 1))).otherwise(loc)
-    return F.when(F.instr(text, "(") == 0, text).otherwise(
-        F.concat(sig, F.lit("("), loc, F.lit(")")))
+    def normal(text: Column) -> Column:
+        sig = F.translate(F.substring_index(text, "(", 1), "/", ".")
+        inside = F.regexp_extract(text, r"^[^(]*\((.*?)(?:\)[^)]*)?$", 1)
+        place = strip(F.replace(F.replace(inside, F.lit("(Compiled Code)"), F.lit("")),
+                                 F.lit("(JIT Compiled Code)"), F.lit("")))
+        loc = bind(place, lambda p: F.when(F.instr(p, "(") > 1, strip(F.substring_index(p, "(", 1))).otherwise(p))
+        return F.when(F.instr(text, "(") == 0, text).otherwise(
+            F.concat(sig, F.lit("("), loc, F.lit(")")))
+
+    return bind(strip(frame), normal)
 
 
 def signatures(frames: Column) -> Column:

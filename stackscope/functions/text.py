@@ -12,6 +12,12 @@ def _quote(s: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", s)
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value computed once. A column written several times into conditions and struct fields is computed, and
+    its code generated, as often; nested uses multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(col: Column, needles) -> Column:
     needles = list(needles)
     if not needles:
