@@ -27,28 +27,33 @@ def frame_location(line: Column) -> Column:
     return F.regexp_extract(line, FRAME_LINE, 2)
 
 
-def frame_of(sig: Column, loc: Column) -> Column:
-    """Frame struct of a signature and a location (best passed as plain columns)."""
-    def build(head: Column) -> Column:
+def frame_text(line: Column) -> Column:
+    """``sig(loc)`` of a frame line (best passed as a plain column); null when the line is no frame."""
+    return F.when(is_frame_line(line), F.concat(frame_signature(line), F.lit("("), frame_location(line), F.lit(")")))
+
+
+def frame_of(raw: Column) -> Column:
+    """Frame struct of a ``frame_text``, whose signature ends at the first parenthesis."""
+    def build(sig: Column, head: Column, loc: Column) -> Column:
         dotted = head != ""
-        cls_name = F.when(dotted, head).otherwise(sig)
-        method_name = F.when(dotted, F.substring_index(sig, ".", -1)).otherwise(F.lit(""))
         return F.struct(
-            F.concat(sig, F.lit("("), loc, F.lit(")")).alias("raw"),
-            cls_name.alias("cls"),
-            method_name.alias("method"),
-            strip(loc).alias("loc"),
+            raw.alias("raw"),
+            F.when(dotted, head).otherwise(sig).alias("cls"),
+            F.when(dotted, F.substring_index(sig, ".", -1)).otherwise(F.lit("")).alias("method"),
+            loc.alias("loc"),
             F.when(dotted, sig).otherwise(F.concat(sig, F.lit("."))).alias("sig"),
-            (strip(loc) == "Native Method").alias("native"),
+            (loc == "Native Method").alias("native"),
         )
 
-    return bind(F.regexp_extract(sig, r"^(.+)\.[^.]*$", 1), build)
+    return bind(F.substring_index(raw, "(", 1), lambda sig: bind(F.struct(
+        F.regexp_extract(sig, r"^(.+)\.[^.]*$", 1).alias("head"),
+        strip(F.substr(raw, F.length(sig) + 2, F.length(raw) - F.length(sig) - 2)).alias("loc")),
+        lambda p: build(sig, p["head"], p["loc"])))
 
 
 def parse_frame(line: Column) -> Column:
     """One ``at sig(loc)`` line as a frame struct; null when the line is no frame."""
-    return bind(line, lambda l: F.when(is_frame_line(l), bind(
-        F.struct(frame_signature(l).alias("sig"), frame_location(l).alias("loc")), lambda p: frame_of(p["sig"], p["loc"]))))
+    return bind(bind(line, frame_text), lambda raw: F.when(raw.isNotNull(), frame_of(raw)))
 
 
 def normalize_j9_frame(frame: Column) -> Column:

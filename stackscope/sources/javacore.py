@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackscope.functions.frames import normalize_j9_frame, parse_frame
+from stackscope.functions.frames import frame_of, frame_text, normalize_j9_frame
 from stackscope.functions.names import map_j9_state
 from stackscope.functions.scan import running
-from stackscope.functions.text import strip
+from stackscope.functions.text import bind, strip
 from stackscope.session import store
 from stackscope.sources.hotspot import place_locks
 from stackscope.sources.tables import Tables, index_dumps
@@ -82,7 +82,7 @@ def javacore_tables(tagged: DataFrame) -> Tables:
         F.lit("LOCKED_MONITOR"), F.lower(_get(text, ENTERED, 2)), _cls(_get(text, ENTERED, 1))))
     own_ref = F.coalesce(block, entered)
     frame = F.when((tag == "4XESTACKTRACE") & (F.col("in_stack") == 1) & line.rlike(STACK),
-                   parse_frame(normalize_j9_frame(F.regexp_extract(line, STACK, 1))))
+                   bind(normalize_j9_frame(F.regexp_extract(line, STACK, 1)), frame_text))
 
     lines = df.filter(F.col("thread_no") > 0).withColumn("_frame", frame).withColumn("_ref", own_ref)
     raw = lines.groupBy(*keys, "thread_no").agg(
@@ -118,9 +118,10 @@ def javacore_tables(tagged: DataFrame) -> Tables:
         F.when(letters.isNull(), "UNKNOWN").otherwise(state).alias("state"),
         F.when(letters.isNull(), "").otherwise(label).alias("state_detail"),
         F.lit("").alias("header_cond"), F.lit(False).alias("is_virtual"),
-        F.transform("_frames", lambda f: f["frame"]).alias("frames"),
+        F.transform("_frames", lambda f: frame_of(f["frame"])).alias("frames"),
         locks.alias("locks"))
-    thread = _merge_monitors(df, thread, own_ref, keys)
+    # read four times below, mostly by its names: stored, as grouping the lines anew would parse every frame again
+    thread = _merge_monitors(df, store(thread), own_ref, keys)
     return Tables(*_dump_level(df, thread, keys))
 
 

@@ -252,3 +252,15 @@ def test_knowledge_merge_and_rule_checks(spark):
     table = kb.rule_table(spark, rules)
     assert kb.validate_rules(table).count() == 0
     assert kb.rules_from_table(table)[2].frames == ("z",)
+
+
+def _planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_javacore_threads_are_grouped_once(spark):
+    """The threads that the LOCKS section is merged into are read from files: only its own locks are gathered in the plan."""
+    t = parse_javacore(line_table(spark, javacore()))
+    assert _planned(t.thread).count("collect_list(") <= 1
+    frames = {r["name"]: [f["raw"] for f in r["frames"]] for r in t.thread.collect()}
+    assert frames["W : 1"] == ["com.shop.Cache.load(Cache.java:7)"] and frames["W : 3"] == ["java.lang.Object.wait(Native Method)"]
