@@ -264,3 +264,14 @@ def test_javacore_threads_are_grouped_once(spark):
     assert _planned(t.thread).count("collect_list(") <= 1
     frames = {r["name"]: [f["raw"] for f in r["frames"]] for r in t.thread.collect()}
     assert frames["W : 1"] == ["com.shop.Cache.load(Cache.java:7)"] and frames["W : 3"] == ["java.lang.Object.wait(Native Method)"]
+
+
+def test_hotspot_frames_are_gathered_as_text(spark):
+    """Fields of a frame are read after the lines of a thread are grouped, so the shuffle carries each frame once."""
+    t = parse_hotspot(line_table(spark, series_text()))
+    plan = _planned(t.thread.select("name", "frames"))
+    assert "Native Method" in plan and "Native Method" not in plan[plan.index("Aggregate"):]
+    frames = {(r["name"], r["dump_idx"]): [tuple(f) for f in r["frames"]] for r in t.thread.collect()}
+    assert frames["main", 0] == [
+        ("java.lang.Object.wait0(Native Method)", "java.lang.Object", "wait0", "Native Method", "java.lang.Object.wait0", True),
+        ("com.shop.Main.run(X.java:1)", "com.shop.Main", "run", "X.java:1", "com.shop.Main.run", False)]
