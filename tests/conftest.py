@@ -26,3 +26,16 @@ def spark():
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="test-ckpt-"))
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def settings(request):
+    """What ``configure`` sets for a session ends with the test that called it."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    s, names = request.getfixturevalue("spark"), ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: s.conf.get(n) for n in names}
+    yield
+    for n, v in before.items():
+        s.conf.set(n, v)
