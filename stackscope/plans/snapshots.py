@@ -41,6 +41,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
                        for n, t in df.dtypes])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows that become many times as wide further on, dealt by keys to four tasks a core.
+
+    A number given here is kept: by the size of the narrow rows, adaptive execution would merge them into one task or a few.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _frames(event: Column, variant: Column) -> Column:
     out = None
     for et, sigs in FRAMES_OF.items():
@@ -110,8 +118,9 @@ def event_tables(spark: SparkSession, sf_dir: str, by_node: bool = False) -> Tab
                                          _lock("LOCKED_MONITOR", own, F.lit("java.lang.Object"), 1)))
              .otherwise(none))
     skew = F.when(F.lit(by_node) & (u % 2 == 1), 1.5).otherwise(1.0)
-    thread = one.withColumn("cpu_ms", (F.sum("cents").over(w) * 10000).cast("double")) \
-        .join(days.select("series_id", "day", "dump_idx"), ["series_id", "day"]).select(
+    placed = one.withColumn("cpu_ms", (F.sum("cents").over(w) * 10000).cast("double")) \
+        .join(days.select("series_id", "day", "dump_idx"), ["series_id", "day"])
+    thread = spread(placed, "dump_idx", "user_id").select(
         "series_id", "dump_idx", u.alias("thread_ord"), name.alias("name"), u.alias("java_id"),
         (u % 2 == 0).alias("daemon"), (u % 3 + 4).cast("int").alias("prio"), F.lit(0).alias("os_prio"),
         "cpu_ms", (F.datediff("day", F.lit("2024-01-01").cast("date")) * 86400.0 * skew + u).alias("elapsed_s"),
