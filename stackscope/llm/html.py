@@ -1,20 +1,24 @@
 """Main text of web pages by a suffix array over each host's token streams.
 
 A page is cut into blocks with a role: body (inside article or main), chrome (menus, headers, footers, asides, forms,
-adverts, notices, comments) or open (neither). Chrome goes, body text stays whole, since copied articles repeat too; of open
-blocks the tokens covered by boilerplate go and the unique runs stay. So only hosts with open blocks need counts.
+adverts, notices, comments) or open (neither). Chrome goes; of open blocks the tokens covered by boilerplate go and the
+unique runs stay; of bodies whole blocks go that are the host's own notices.
 
-For these, slices of pages are concatenated and the suffixes of their token streams sorted; suffixes whose first ``min_run``
-tokens agree stand together and are counted, and the counts of all slices are added up by (host, run). Runs that
-stand on enough distinct pages of the whole host, mostly outside bodies, are boilerplate, and are joined back to the
-pages. So slices, partitions and the order of rows do not decide the text.
+Slices of all pages are concatenated and the suffixes of their token streams sorted; suffixes whose first ``min_run``
+tokens agree stand together and are counted, and the counts of all slices are added up by (host, run). So slices,
+partitions and the order of rows do not decide the text. Two kinds of runs are joined back to the pages:
+
+* boilerplate, for hosts with open blocks: runs on enough distinct pages of the whole host, mostly outside bodies;
+* site-wide runs, for every host: outside bodies on more than half of its pages. There are at most twice as many as a
+  page has on average. A body block wholly covered by such runs goes if they stand so in enough distinct bodies. What
+  repeats in bodies alone stays, since copied articles repeat too, and so does an article that menus quote everywhere.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +142,15 @@ def blocks(source: str) -> list[tuple[int, str]]:
     return out
 
 
+def run_digests(tokens: np.ndarray, at: np.ndarray, min_run: int) -> np.ndarray:
+    """Of the runs of ``min_run`` tokens that begin at these places."""
+    mult = odd_numbers(min_run, 23)
+    h = np.zeros(len(at), np.uint64)
+    for j in range(min(min_run, len(tokens))):
+        h += tokens[at + j].astype(np.uint64) * mult[j]
+    return mix(h).astype(np.int64)
+
+
 class Suffixes:
     """The suffixes of several token streams, ranked by their first ``min_run`` tokens by doubling.
 
@@ -149,7 +162,7 @@ class Suffixes:
         self.sizes = sizes = np.array([len(s) + 1 for s in streams])
         self.total = total = int(sizes.sum())
         self.first = first = np.cumsum(sizes) - sizes
-        page = np.repeat(np.arange(len(streams)), sizes)
+        self.page = page = np.repeat(np.arange(len(streams)), sizes)
         self.every = every = np.zeros(total, np.int64)
         in_body = np.zeros(total, bool)
         for k, s in enumerate(streams):
@@ -174,15 +187,14 @@ class Suffixes:
         self.whole = self.head + min_run <= ends[page[self.head]]
         self.pages = np.bincount(self.group, np.r_[True, (pages[1:] != pages[:-1]) | new[1:]])  # stable: pages ascend in a group
         self.count = np.bincount(self.group)
-        self.outside = np.bincount(self.group, ~in_body[order])
+        away = ~in_body[order]
+        self.outside = np.bincount(self.group, away)
+        g, p = self.group[away], pages[away]
+        self.away = np.bincount(g[np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])][:len(g)]], minlength=len(self.head))
 
     def digests(self) -> np.ndarray:
         """Of each group's run; only those of ``whole`` groups mean anything."""
-        at, mult = np.minimum(self.head, max(self.total - self.min_run, 0)), odd_numbers(self.min_run, 23)
-        h = np.zeros(len(at), np.uint64)
-        for j in range(min(self.min_run, self.total)):
-            h += self.every[at + j].astype(np.uint64) * mult[j]
-        return mix(h).astype(np.int64)
+        return run_digests(self.every, np.minimum(self.head, max(self.total - self.min_run, 0)), self.min_run)
 
     def covered(self, groups: np.ndarray) -> list[np.ndarray]:
         """For each page, which tokens lie in runs of these groups."""
@@ -224,6 +236,22 @@ def counts(rows: list[dict], tokens: Cache, min_run: int) -> dict[str, np.ndarra
             "outside": found.outside[ok].astype(np.int64)}
 
 
+def outside_counts(rows: list[dict], tokens: Cache, min_run: int) -> dict[str, np.ndarray]:
+    """Digest, number of the host and pages of the runs of a slice that stand outside bodies, on pages where they do."""
+    cut = streams(rows, tokens)
+    found = Suffixes([s for s, _ in cut], [r == IN_BODY for _, r in cut], min_run)
+    ok = found.whole & (found.away > 0)
+    host = np.array([r["of"] for r in rows], np.int64)
+    return {"h": found.digests()[ok], "of": host[found.page[found.head[ok]]], "pages": found.away[ok].astype(np.int64)}
+
+
+def block_runs(text: str, host: str, tokens: Cache, min_run: int) -> np.ndarray:
+    """Distinct digests of the runs that lie wholly in a block."""
+    words = text.split(" ")
+    own = np.array([tokens[w] for w in words], np.uint64) ^ np.uint64(tokens["\n" + host])
+    return np.unique(run_digests(own, np.arange(max(len(own) - min_run + 1, 0)), min_run))
+
+
 def open_runs(row: dict, tokens: Cache, min_run: int) -> np.ndarray:
     """Distinct digests of a page's runs that reach into open blocks."""
     (own, role), = streams([row], tokens)
@@ -236,14 +264,19 @@ def open_runs(row: dict, tokens: Cache, min_run: int) -> np.ndarray:
 
 
 def main_text(row: dict, tokens: Cache, min_run: int) -> str:
-    """Main text of a page whose boilerplate digests are in ``gone``."""
+    """Main text of a page; ``gone`` has digests of its boilerplate, ``site`` those of site-wide runs in its bodies."""
+    gone, site = (np.array(row[k] or [], np.int64) for k in ("gone", "site"))
+    if not len(gone) and not len(site):
+        return " ".join(t for r, t in zip(row["roles"], row["texts"]) if r != IS_CHROME)
     (own, role), = streams([row], tokens)
-    mask, = repeated([own], [role == IN_BODY], min_run, 0, np.array(row["gone"] or [], np.int64))
+    mask, = repeated([own], [role == IN_BODY], min_run, 0, gone)
     at, kept = 0, []
     for r, text in zip(row["roles"], row["texts"]):
         b = text.split(" ")
         if r == IN_BODY:
-            kept.append(text)
+            notice, = repeated([own[at:at + len(b)]], [role[at:at + len(b)] == IN_BODY], min_run, 0, site)
+            if not notice.all():
+                kept.append(text)
         elif r == OPEN:
             left = " ".join(w for w, x in zip(b, mask[at:at + len(b)]) if not x)
             if left:
@@ -261,8 +294,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per input row: page_id, url, text, n_chars.
 
     Null or empty html: empty text. Pages with a null url, or without a host, form one host. Repeated rows count as
-    distinct pages, ``min_pages`` over the whole host. Slices end after ``group`` pages or ``group_chars`` characters,
-    a bound on memory only, since their counts are added up. Other columns are not looked at.
+    distinct pages, but not as distinct bodies; ``min_pages`` of either over the whole host. Body blocks of fewer than
+    ``min_run`` tokens stay. Slices end after ``group`` pages or ``group_chars`` characters, a bound on memory only,
+    since their counts are added up. Other columns are not looked at.
     """
     host = lower_ascii(F.coalesce(F.regexp_extract(F.col(url_col), "://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
@@ -281,24 +315,41 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     parsed = store(in_batches(rows, parse, "row long, id long, url string, host string, open boolean, "
                                            "roles array<tinyint>, texts array<string>"))
-    names = [F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars")]
-    done = parsed.where("not open").withColumn("text", F.array_join(F.expr(f"filter(texts, (t, i) -> roles[i] = {IN_BODY})"), " "))
+
+    def sliced(fn: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens, held, chars = _tokens(), [], 0
+            for b in batches:
+                for r in b.to_pylist():
+                    size = sum(map(len, r["texts"]))
+                    if held and (len(held) >= group or chars + size > group_chars):
+                        yield pa.RecordBatch.from_pydict(fn(held, tokens, min_run))
+                        held, chars = [], 0
+                    held.append(r)
+                    chars += size
+            if held:
+                yield pa.RecordBatch.from_pydict(fn(held, tokens, min_run))
+        return run
+
+    def finish(cols: dict) -> dict:
+        tokens = _tokens()
+        return {"id": cols["id"], "url": cols["url"], "text": [
+            main_text({"host": h, "roles": r, "texts": t, "gone": g, "site": s}, tokens, min_run) for h, r, t, g, s in zip(
+                cols["host"], cols["roles"], cols["texts"], cols["gone"], cols["site"])]}
+
+    # stored, so that Spark knows how few pages have any and need not deal all pages out anew
+    known = store(_boilerplate(parsed, sliced, min_run, min_pages).join(_notices(parsed, sliced, min_run, min_pages), "row", "full"))
+    left = in_batches(parsed.join(known, "row", "left").select("id", "url", "host", "roles", "texts", "gone", "site"), finish,
+                      "id long, url string, text string")
+    return left.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
+                       F.length("text").cast("long").alias("n_chars"))
+
+
+def _boilerplate(parsed: DataFrame, sliced: Callable, min_run: int, min_pages: int) -> DataFrame:
+    """(row, gone): of pages with open blocks, the boilerplate of their host that reaches into these."""
     unsure = parsed.where("open")
     if unsure.isEmpty():
-        return done.select(*names)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, chars = _tokens(), [], 0
-        for b in batches:
-            for r in b.to_pylist():
-                size = sum(map(len, r["texts"]))
-                if held and (len(held) >= group or chars + size > group_chars):
-                    yield pa.RecordBatch.from_pydict(counts(held, tokens, min_run))
-                    held, chars = [], 0
-                held.append(r)
-                chars += size
-        if held:
-            yield pa.RecordBatch.from_pydict(counts(held, tokens, min_run))
+        return parsed.sparkSession.createDataFrame([], "row long, gone array<long>")
 
     def reach(cols: dict) -> dict:
         tokens = _tokens()
@@ -306,18 +357,48 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             cols["host"], cols["roles"], cols["texts"])]
         return {"row": np.repeat(np.array(cols["row"], np.int64), [len(x) for x in found]), "h": np.concatenate(found)}
 
-    def finish(cols: dict) -> dict:
-        tokens = _tokens()
-        return {"id": cols["id"], "url": cols["url"], "text": [
-            main_text({"host": h, "roles": r, "texts": t, "gone": g}, tokens, min_run) for h, r, t, g in zip(
-                cols["host"], cols["roles"], cols["texts"], cols["gone"])]}
-
     slices = (parsed.join(unsure.select("host").distinct(), "host", "left_semi").select("host", "roles", "texts")
-              .mapInArrow(count, "h long, pages long, n long, outside long"))
+              .mapInArrow(sliced(counts), "h long, pages long, n long, outside long"))
     boilerplate = (slices.groupBy("h").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.sum("outside").alias("outside"))
                    .where((F.col("pages") >= min_pages) & (F.col("outside") * 2 > F.col("n"))).select("h"))
-    gone = (in_batches(unsure.select("row", "host", "roles", "texts"), reach, "row long, h long").join(boilerplate, "h")
+    return (in_batches(unsure.select("row", "host", "roles", "texts"), reach, "row long, h long").join(boilerplate, "h")
             .groupBy("row").agg(F.collect_set("h").alias("gone")))  # one page's own runs
-    left = in_batches(unsure.join(gone, "row", "left").select("id", "url", "host", "roles", "texts", "gone"), finish,
-                      "id long, url string, text string")
-    return done.select("id", "url", "text").union(left).select(*names)
+
+
+def _notices(parsed: DataFrame, sliced: Callable, min_run: int, min_pages: int) -> DataFrame:
+    """(row, site): of pages whose bodies have blocks that begin with a site-wide run, the site-wide runs in these."""
+    away = (parsed.select("host", F.xxhash64("host").alias("of"), "roles", "texts")
+            .mapInArrow(sliced(outside_counts), "h long, of long, pages long")
+            .groupBy("h", "of").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages))
+    hosts = parsed.groupBy(F.xxhash64("host").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    wide = store(away.join(hosts, "of").where("2 * pages > size").select("h"))
+
+    def begin(cols: dict) -> dict:
+        tokens, row, block, own = _tokens(), [], [], []
+        for i, host, roles, texts in zip(cols["row"], cols["host"], cols["roles"], cols["texts"]):
+            salt = tokens["\n" + host]
+            for k, (r, t) in enumerate(zip(roles, texts)):
+                words = t.split(" ", min_run)[:min_run] if r == IN_BODY else []
+                if len(words) == min_run:
+                    row.append(i)
+                    block.append(k)
+                    own += [tokens[w] ^ salt for w in words]
+        return {"row": row, "block": block, "h": run_digests(np.array(own, np.uint64), np.arange(0, len(own), min_run), min_run)}
+
+    def inside(cols: dict) -> dict:
+        tokens = _tokens()
+        found = [np.unique(np.concatenate([block_runs(t[k], h, tokens, min_run) for k in b])) for h, t, b in zip(
+            cols["host"], cols["texts"], cols["blocks"])]
+        sizes = [len(x) for x in found]
+        # copies of an article are one body, whatever notices they show: the smallest digest of the other blocks tells
+        bodies = [min((tokens[t] for k, (r, t) in enumerate(zip(roles, texts)) if r == IN_BODY and k not in b), default=0)
+                  for roles, texts, b in zip(cols["roles"], cols["texts"], cols["blocks"])]
+        return {"row": np.repeat(np.array(cols["row"], np.int64), sizes), "body": np.repeat(np.array(bodies, np.int64), sizes),
+                "h": np.concatenate(found)}
+
+    near = store(in_batches(parsed.select("row", "host", "roles", "texts"), begin, "row long, block int, h long")
+                 .join(wide, "h", "left_semi").groupBy("row").agg(F.collect_set("block").alias("blocks")))
+    held = store(in_batches(parsed.join(near, "row").select("row", "host", "roles", "texts", "blocks"), inside,
+                            "row long, body long, h long").join(wide, "h", "left_semi"))
+    often = held.groupBy("h").agg(F.count_distinct("body").alias("bodies")).where(F.col("bodies") >= min_pages).select("h")
+    return held.join(often, "h", "left_semi").groupBy("row").agg(F.collect_set("h").alias("site"))

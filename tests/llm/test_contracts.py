@@ -236,6 +236,34 @@ def test_main_text_counts_over_the_whole_host(spark):
         assert {r.page_id: r.text for r in html.extract(dealt, group=8).collect()} == want
 
 
+def test_main_text_drops_site_wide_notices_in_articles(spark):
+    """The counts decide bodies too: a host's own notice goes, whatever else repeats there stays."""
+    note = "you may read three more articles on this site for free this month"
+    line = "and so they lived happily until the very end of their days"
+    title = "how the old harbour was rebuilt after the great storm"
+    copied = "this article was copied word by word to several pages of the host"
+    def page(k, body, menu=""):
+        return f"<article>{body}</article><aside>{note if k % 4 else ''}</aside><nav><p>{title}</p>{menu}</nav>"
+    bodies = {k: [f"page {k} has words of its own {k}a {k}b {k}c", line, f"more of page {k}"] for k in range(40)}
+    bodies[3] = [title, *bodies[3]]
+    for k in range(20, 25):
+        bodies[k] = [title, copied]
+    rows, want = [], {}
+    for k, parts in bodies.items():
+        shown = parts[:1] + [note] + parts[1:] if k % 5 == 0 else parts
+        rows.append((k, "http://a.example/x", page(k, "".join(f"<p>{p}</p>" for p in shown), line if k < 6 else "")))
+        want[k] = " ".join(parts)
+    # quoted inside a longer block, and on a host where it is no notice
+    rows.append((100, "http://a.example/x", page(1, f"<p>the page said {note} and I left</p>")))
+    want[100] = f"the page said {note} and I left"
+    for k in range(101, 105):
+        rows.append((k, "http://b.example/x", f"<article><p>{note}</p></article>"))
+        want[k] = note
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for dealt in (df.repartition(1), df.repartition(7)):
+        assert {r.page_id: r.text for r in html.extract(dealt, group=8).collect()} == want
+
+
 @pytest.mark.parametrize("source,want", [
     ("<body class='has-sidebar'><p>all of it</p></body>", "all of it"),
     ("<article class='post sidebar-right'>text</article>", "text"),
